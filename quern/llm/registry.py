@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op10_secret_ledger": "secret_ledger",
     "op6_weak_quality": "weak_quality",
+    "op7_bpe_rounds": "bpe",
+    "op8_bpe_counts": "bpe",
     "op9_feistel_shards": "feistel_shards",
 }
 
