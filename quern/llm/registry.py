@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: module of this package that has it, under the same name.
 MODULES = {
     "op10_secret_ledger": "secret_ledger",
+    "op4_personal_data": "personal_data",
     "op6_weak_quality": "weak_quality",
     "op7_bpe_rounds": "bpe",
     "op8_bpe_counts": "bpe",
