@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op10_secret_ledger": "secret_ledger",
     "op4_personal_data": "personal_data",
+    "op5_jaccard_groups": "jaccard_groups",
     "op6_weak_quality": "weak_quality",
     "op7_bpe_rounds": "bpe",
     "op8_bpe_counts": "bpe",
