@@ -12,6 +12,7 @@ MODULES = {
     "op6_weak_quality": "weak_quality",
     "op7_bpe_rounds": "bpe",
     "op8_bpe_counts": "bpe",
+    "op1_warc_revisits": "warc_revisits",
     "op2_template_leaks": "template_leaks",
     "op3_subword_classifier": "subword_classifier",
     "op9_feistel_shards": "feistel_shards",
