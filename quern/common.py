@@ -12,9 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fits(df: DataFrame, rows: int = DEFAULTS.broadcast_rows) -> bool:
+    """Whether df has at most so many rows; looks at no more than it needs to tell."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def bounded(df: DataFrame, rows: int = DEFAULTS.broadcast_rows) -> DataFrame:
     """df with a broadcast hint if it is checked to have at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -77,8 +77,16 @@ def without_tags(html: Column) -> Column:
 
 
 def milliseconds(ms: Column) -> Column:
-    """`x.xx s` from a second on, else whole milliseconds."""
-    return F.when(ms >= 1000, F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s"))).otherwise(F.concat(F.floor(ms + 0.5).cast("string"), F.lit(" ms")))
+    """`x.xx s` from a second on, else whole milliseconds.
+
+    Hundredths are rounded by the exact value of the quotient in binary: where the thousandth is a
+    five, what the division left over tells on which side of the tie it is. All steps of that sum are exact.
+    """
+    q = ms / 1000
+    left = ms - q * 1024 + q * 16 + q * 8
+    hundredths = F.when(F.pmod(ms, F.lit(10.0)) == 5, F.floor(ms / 10) + F.when(left <= 0, 1).otherwise(0)).otherwise(F.floor(ms / 10 + 0.5)).cast("long")
+    seconds = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(" s"))
+    return F.when(ms >= 1000, seconds).otherwise(F.concat(F.floor(ms + 0.5).cast("string"), F.lit(" ms")))
 
 
 def hash_bucket(word: Column, buckets: int = 64) -> Column:

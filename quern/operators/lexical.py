@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.common import bounded
+from quern.common import fits
 from quern.functions.text import tokens
 from quern.settings import DEFAULTS, Settings
 
@@ -42,8 +42,10 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, setti
     chunks' order.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = bounded(asked.select("term").distinct(), settings.broadcast_rows)
-    terms = bounded(asked.join(term_stats(chunks, settings), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), settings.broadcast_rows)
+    # Whether the queries' terms can be broadcast is settled once, on the queries alone.
+    sent = F.broadcast if fits(asked, settings.broadcast_rows) else lambda df: df
+    vocabulary = sent(asked.select("term").distinct())
+    terms = sent(term_stats(chunks, settings).join(sent(asked), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
     stats = F.broadcast(corpus_stats(chunks).select(F.col("avg_tokens").alias("__avg")))
     found = chunks.select("chunk_id", "chunk_ord", tokens(F.col("content")).alias("__t")).select("chunk_id", "chunk_ord", F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(vocabulary, "term", "left_semi")
     tf = found.groupBy("chunk_id", "chunk_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.common import bounded
+from quern.common import fits
 from quern.functions.text import cleaned_question, question_error
 from quern.operators import decisions, dense, fusion, ingest, lexical, report
 from quern.settings import DEFAULTS, Settings
@@ -58,7 +58,9 @@ def retrieved(retrievals: DataFrame, chunks: DataFrame, pages: DataFrame, settin
     asked = dense.hash_embeddings(vec.select("query_id", "sub_query"), "query_id", "sub_query")
     stored = dense.hash_embeddings(chunks, "chunk_id", "content").select(F.col("chunk_id").alias("id"), "embedding")
     by_vector = dense.search(asked, stored, settings.top_k).withColumnRenamed("id", "chunk_id")
-    lists = [_hits(a, local.join(bounded(f.select("query_id", "rank", "chunk_id")), "chunk_id")) for a, f in ((lex, by_words), (vec, by_vector))]
+    # Every sub-query finds top_k at most.
+    sent = F.broadcast if fits(retrievals, settings.broadcast_rows // settings.top_k) else lambda df: df
+    lists = [_hits(a, local.join(sent(f.select("query_id", "rank", "chunk_id")), "chunk_id")) for a, f in ((lex, by_words), (vec, by_vector))]
     return fusion.all_hits(*lists, retrieved_web(retrievals, pages, settings))
 
 

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.common import bounded
+from quern.common import fits
 from quern.functions.text import without_tags
 from quern.operators import lexical
 from quern.settings import DEFAULTS
@@ -31,7 +31,9 @@ def searched_pages(queries: DataFrame, pages: DataFrame, most: int = DEFAULTS.we
     """
     texts = page_texts(pages)
     found = lexical.search(queries, texts, most).select("query_id", "rank", "chunk_id")
-    return texts.join(bounded(found), "chunk_id").select("query_id", "rank", "title", "url", "content")
+    # Every query finds `most` at most.
+    found = F.broadcast(found) if fits(queries, DEFAULTS.broadcast_rows // max(1, most)) else found
+    return texts.join(found, "chunk_id").select("query_id", "rank", "title", "url", "content")
 
 
 def searched(queries: DataFrame, client: Callable[[str, int], list[dict]], most: int = DEFAULTS.web_results) -> DataFrame:
