@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import bounded, keep_ids, table, words_of, written
@@ -24,59 +24,73 @@ PASSAGE_WORDS = 13
 BROADCAST_WINDOWS = 2_000_000
 
 NUMBER, NAME, UNIT = "0num", "0name", "0unit"
-PLACEHOLDERS = (NUMBER, NAME, UNIT)
 UNITS = "km|cm|mm|nm|mi|miles?|met(?:er|re)s?|feet|foot|ft|inch(?:es)?|kg|mg|g|grams?|lbs?|pounds?|ounces?|oz|tons?|tonnes?|ml|cl|l|lit(?:er|re)s?|gallons?|s|sec(?:ond)?s?|min(?:ute)?s?|h|hours?|hrs?|days?|weeks?|months?|years?|ms|hz|khz|mhz|ghz|kb|mb|gb|tb|v|volts?|w|watts?|kw|kwh|j|joules?|n|pa|k|mol|percent|dollars?|euros?|cents?|usd|eur|gbp"
-# Marks at the edges of a word go; a word of marks alone goes too. Both texts lose the same words.
-EDGES = r"(?<![^\s])[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?![^\s])"
-NUMBERS = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*(?![\p{L}])"
-AFTER_NUMBER = rf"(?i)(?<=0num[\x20-]?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
+SPACE = r"\x20\x09-\x0D"
+# Marks within words go, and so do words of marks alone, from the text and from its template alike.
+MARKS = rf"[^\p{{L}}\p{{N}}{SPACE}]+"
+# Each pattern begins with what is rare, so that most characters are passed over at once.
+NUMBERS = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*(?![\p{L}\p{N}])"
+AFTER_NUMBER = rf"(?i){NUMBER}([{SPACE}-]?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 # A capital after a word that ends no sentence.
-NAMES = r"(?<=[\p{L}\p{N},;)][\x20])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
-
-
-def _words(text: Column) -> Column:
-    return words_of(F.regexp_replace(text, EDGES, " "))
+NAMES = rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;)][{SPACE}]\p{{Lu}})\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
+#: A word of the template that has a placeholder in it.
+SLOT = f"^(?:{NUMBER}|{NAME}|{UNIT})"
 
 
 def template(text: Column) -> Column:
     """The text with typed placeholders; word for word beside the text."""
-    text = F.regexp_replace(text, NUMBERS, NUMBER)
-    text = F.regexp_replace(text, AFTER_NUMBER, UNIT)
-    return F.regexp_replace(text, NAMES, NAME)
+    numbered = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, NUMBERS, NUMBER), AFTER_NUMBER, f"{NUMBER}$1{UNIT}")).otherwise(text)
+    return F.regexp_replace(numbered, NAMES, NAME)
+
+
+def _words(text: Column) -> Column:
+    return words_of(F.lower(F.regexp_replace(text, MARKS, "")))
 
 
 def _templated(df: DataFrame, key: str) -> DataFrame:
-    """key, own (the words) and words (the template's), both in lower case."""
+    """key, own (the words), words (the template's), both in lower case, and slots: how many have a placeholder.
+
+    Without placeholders own is null: the words are the template's.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Any white space of the words' definition counts as a space, so that names are found across lines.
-    text = F.translate(text, "\t\n\x0b\f\r", "     ")
-    out = df.select(F.col(key), _words(F.lower(text)).alias("own"), _words(template(text)).alias("words"))
-    return out.withColumn("words", F.transform("words", F.lower))
+    out = df.select(F.col(key), text.alias("__text"), template(text).alias("__template"))
+    changed = F.col("__text") != F.col("__template")
+    out = out.select(key, F.when(changed, _words(F.col("__text"))).alias("own"), _words(F.col("__template")).alias("words"))
+    slots = F.when(F.col("own").isNull(), 0).otherwise(F.size(F.filter("words", lambda w: w.startswith("0"))))
+    return out.withColumn("slots", slots)
+
 
+def _window_hash(own: Column, words: Column, at: Column, size: int, slots: bool) -> Column:
+    """Hash of a window; places count from 0. With slots, one that is mostly placeholders, which begin with 0, goes by its own words.
 
-def _window_hash(own: Column, words: Column, at: Column, size: Column | int) -> Column:
-    """Hash of a window; places count from 1. One that is mostly placeholders goes by its own words."""
-    part = F.slice(words, at, size)
-    literal = F.size(F.array_except(part, F.array(*[F.lit(p) for p in PLACEHOLDERS])))
-    return F.when(literal >= LITERALS, F.xxhash64(part)).otherwise(F.xxhash64(F.slice(own, at, size)))
+    Elements are taken one by one: slice() would copy the whole array for each window.
+    """
+    part = [F.get(words, at + k) for k in range(size)]
+    if not slots:
+        return F.xxhash64(*part)
+    literal = sum((F.when(w.startswith("0"), 0).otherwise(1) for w in part), F.lit(0))
+    return F.when(literal >= LITERALS, F.xxhash64(*part)).otherwise(F.xxhash64(*[F.get(own, at + k) for k in range(size)]))
 
 
 #: Items with fewer words than this are too short to be told from chance and never match.
 SHORTEST = 5
 
 
-def _windows(df: DataFrame, key: str, sizes: list[int], at: str) -> DataFrame:
-    """key, at and hash of every window of the given sizes; hash covers the size."""
-    open_ = F.arrays_overlap("words", F.array(*[F.lit(p) for p in PLACEHOLDERS]))
+def _windows(df: DataFrame, key: str, strides: dict[int, int], at: str) -> DataFrame:
+    """key, at and hash of windows of the given sizes, each at every stride-th place."""
 
-    def of(size: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
-        plain = F.transform(places, lambda i: F.xxhash64(F.slice("words", i, size)))
-        slots = F.transform(places, lambda i: _window_hash(F.col("own"), F.col("words"), i, size))
-        return F.when(F.size("words") < size, F.array().cast("array<bigint>")).when(open_, slots).otherwise(plain)
+    def of(size: int, stride: int) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(stride))
+        hashed = lambda slots: F.transform(places, lambda i: F.struct(i.alias(at), _window_hash(F.col("own"), F.col("words"), i, size, slots).alias("hash")))
+        none = F.array().cast(f"array<struct<{at}:int,hash:bigint>>")
+        return F.when(F.size("words") < size, none).when(F.col("slots") > size - LITERALS, hashed(True)).otherwise(hashed(False))
 
-    parts = [df.select(key, F.posexplode(of(s)).alias("__at", "hash")).select(key, (F.col("__at") + 1).alias(at), "hash") for s in sizes]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [df.select(key, F.inline(of(size, stride))) for size, stride in strides.items()])
+
+
+def _having(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is in ids; a null id equals a null id."""
+    return keep_ids(texts, ids, "left_semi", BROADCAST_WINDOWS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -90,36 +104,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = items.select("__item", "item_id")
     items = _templated(items, "__item").where(F.size("words") >= SHORTEST)
     items = written(items.withColumn("size", F.least(F.size("words"), F.lit(WINDOW))), "op2-items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    if not sizes:
+    n_windows = (F.size("words") - F.col("size") + 1).cast("long")
+    items = items.withColumn("n_item_windows", n_windows).withColumn("enough", F.least(F.lit(PASSAGE_WORDS - WINDOW + 1), F.ceil(n_windows / 2)).cast("int"))
+    strides = {r["size"]: r["stride"] for r in items.groupBy("size").agg(F.min("enough").alias("stride")).orderBy("size").collect()}
+    if not strides:
         return docs.select("doc_id").limit(0).crossJoin(names.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_item_windows"), F.lit(False).alias("changed"))
-    wanted = reduce(DataFrame.unionByName, [_windows(items.where(F.col("size") == s), "__item", [s], "item_at") for s in sizes])
+    wanted = reduce(DataFrame.unionByName, [_windows(items.where(F.col("size") == s), "__item", {s: 1}, "item_at") for s in strides])
+    wanted = bounded(wanted, BROADCAST_WINDOWS)
 
+    # A passage is a run of windows, each the next of the one before, in text and item. A run of
+    # `enough` windows has one at a place that the least of these numbers divides: those places tell
+    # which texts can have a passage, and only these are looked at in every place.
     texts = docs.select("doc_id", "text")
-    hits = _windows(_templated(texts, "doc_id"), "doc_id", sizes, "at").join(bounded(wanted, BROADCAST_WINDOWS), "hash")
-    hits = written(hits.select("doc_id", "at", "__item", "item_at"), "op2-hits")
-
-    # Passages: hits with one offset between text and item.
-    n_windows = items.select("__item", (F.size("words") - F.col("size") + 1).cast("long").alias("n_item_windows"), "size")
-    passages = hits.groupBy("doc_id", "__item", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count_distinct("item_at").alias("found"), F.min("item_at").alias("first"), F.max("item_at").alias("last"))
-    passages = passages.join(bounded(n_windows, BROADCAST_WINDOWS), "__item")
-    enough = F.least(F.lit(PASSAGE_WORDS - WINDOW + 1), F.ceil(F.col("n_item_windows") / 2))
-    passages = written(passages.where(F.col("found") >= enough), "op2-passages")
+    touched = _windows(_templated(texts, "doc_id"), "doc_id", strides, "at").join(wanted, "hash", "left_semi")
+    touched = written(touched.select("doc_id").distinct(), "op2-touched")
+    some = _having(texts, touched)
+    hits = _windows(_templated(some, "doc_id"), "doc_id", dict.fromkeys(strides, 1), "at").join(wanted, "hash").select("doc_id", "__item", (F.col("at") - F.col("item_at")).alias("offset"), "item_at").distinct()
+    run = F.col("item_at") - F.row_number().over(Window.partitionBy("doc_id", "__item", "offset").orderBy("item_at"))
+    runs = hits.withColumn("__run", run).groupBy("doc_id", "__item", "offset", "__run").agg(F.count(F.lit(1)).alias("found"), F.min("item_at").alias("first"), F.max("item_at").alias("last"))
+    passages = runs.join(bounded(items.select("__item", "n_item_windows", "size", "enough"), BROADCAST_WINDOWS), "__item")
+    passages = written(passages.where(F.col("found") >= F.col("enough")), "op2-passages")
 
     # Only texts with a passage are made into words again, to compare what fills the slots.
-    ids = bounded(passages.select(F.col("doc_id").alias("__id")).distinct(), BROADCAST_WINDOWS)
-    again = _templated(texts.join(ids, texts["doc_id"].eqNullSafe(ids["__id"]), "left_semi"), "doc_id")
-    again = again.select(F.col("doc_id").alias("__id"), F.col("own").alias("doc_own"), F.col("words").alias("doc_words"))
-    both = again.join(passages, again["__id"].eqNullSafe(passages["doc_id"])).join(bounded(items.select("__item", "own", "words"), BROADCAST_WINDOWS // WINDOW), "__item")
+    again = _templated(_having(texts, passages.select("doc_id").distinct()), "doc_id")
+    again = again.select(F.col("doc_id").alias("__id"), F.coalesce("own", "words").alias("doc_own"), F.col("words").alias("doc_words"))
+    both = again.join(passages, again["__id"].eqNullSafe(passages["doc_id"])).join(bounded(items.select("__item", F.coalesce("own", "words").alias("own"), "words"), BROADCAST_WINDOWS // WINDOW), "__item")
     length = F.col("last") - F.col("first") + F.col("size")
-    theirs, mine = F.col("first") + F.col("offset"), F.col("first")
-    both = both.where(theirs >= 1).withColumn("slots", F.filter(
+    theirs, mine = F.col("first") + F.col("offset") + 1, F.col("first") + 1
+    both = both.withColumn("slots", F.filter(
         F.zip_with(
             F.arrays_zip(F.slice("words", mine, length).alias("t"), F.slice("own", mine, length).alias("v")),
             F.arrays_zip(F.slice("doc_words", theirs, length).alias("t"), F.slice("doc_own", theirs, length).alias("v")),
             lambda x, y: F.struct(x["t"].alias("t"), y["t"].alias("u"), x["v"].alias("v"), y["v"].alias("w")),
         ),
-        lambda s: s["t"].isin(*PLACEHOLDERS) & (s["t"] == s["u"]),
+        lambda s: s["t"].rlike(SLOT) & (s["t"] == s["u"]),
     ))
     pairs = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["v"], s["w"]))))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["v"]))))
