@@ -1,7 +1,7 @@
 """Quality classifier on subword embeddings, trained by stochastic gradient descent in numpy.
 
 A document is the mean of the vectors of its words and of their character n-grams, hashed into one
-table of buckets; a softmax over that mean gives the classes. As the output is linear in the mean, a
+table of buckets, and of one vector for each pair of a word with itself; a softmax over that mean gives the classes. As the output is linear in the mean, a
 trained model comes down to one weight per bucket: scoring adds up one number per word.
 """
 
@@ -11,6 +11,8 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
+def pairs_of_one(words: list[str]) -> int:
+    """How many words come right after themselves: pairs that share the vector at BUCKETS."""
+    return sum(map(eq, words, islice(words, 1, None)))
+
+
 @dataclass(frozen=True)
 class Model:
     """Log odds of class 1: bias plus the mean weight over a document's features."""
@@ -77,9 +84,9 @@ def trained(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mo
     """
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros(BUCKETS + 1, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((DIMENSIONS, 2), np.float32), np.log(np.array([1 - share, share], np.float32))
     wanted = np.eye(2, dtype=np.float32)[labels]
     full = [i for i, (ids, _) in enumerate(docs) if len(ids)]
@@ -113,7 +120,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 64)
             ids, counts = [], []
             for text in part.column(0).to_pylist():
-                found, n = np.unique(features(WORD.findall(text or ""))[0], return_counts=True)
+                words = WORD.findall(text or "")
+                found, n = np.unique(np.append(features(words)[0], np.full(pairs_of_one(words), BUCKETS)), return_counts=True)
                 ids.append(found.astype(np.int32).tobytes())
                 counts.append(n.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["label", "ids", "counts"])
@@ -153,10 +161,11 @@ class Scorer:
             new.update(zip(part, zip(totals, np.bincount(of, minlength=len(part)).tolist(), strict=True), strict=True))
         self.known.update((w, x) for w, x in new.items() if len(w) <= CACHED_LENGTH)
         long = {w: x for w, x in new.items() if len(w) > CACHED_LENGTH}
-        known, out = self.known, []
+        known, pair, out = self.known, float(self.model.weights[BUCKETS]), []
         for ws in split:
             found = [known[w] if w in known else long[w] for w in ws]
-            out.append(self.model.score(sum([x[0] for x in found]), sum([x[1] for x in found])))
+            twice = pairs_of_one(ws)
+            out.append(self.model.score(sum([x[0] for x in found]) + twice * pair, sum([x[1] for x in found]) + twice))
         return out
 
 
