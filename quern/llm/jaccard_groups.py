@@ -252,7 +252,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             # The round may pass over pairs: the last one doesn't. Similar sets share much of their prefixes.
             pairs = offered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m")).where("20 * c >= m OR m < 40").select("a", "b")
         else:
-            pairs = _all_pairs(written(open_.select("shingle", "node", "n", "component"), "op5-open"))
+            pairs = _all_pairs(written(open_.select("shingle", "node", "n", "component"), "op5-open"), docs)
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs, "op5-offered")
@@ -273,18 +273,70 @@ def _shared(ordered: DataFrame) -> DataFrame:
     return around.where(F.col("__before").isNotNull() | F.col("__after").isNotNull()).drop("__before", "__after")
 
 
-def _all_pairs(entries: DataFrame) -> DataFrame:
+def _unshared(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and alone: how many of its shingles no other of these nodes has, of those that have some."""
+    sets = _mapped(docs.join(bounded(nodes.select(F.col("node").alias("doc_id")), 500_000), "doc_id", "left_semi"), lambda x: [_lists(x)], ["shingles"], "shingles array<long>")
+    counts = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("__last"))
+    return counts.where(F.col("node") == F.col("__last")).groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _all_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """All pairs of nodes that share a list, lie in different components and can be similar.
 
     With c shingles shared within both prefixes, at most c plus what follows one of the prefixes is
-    shared at all, which bounds the similarity.
+    shared at all, so similar sets share several. Nodes of nearly one size share more than 9 n / 140 of
+    their lists: it is enough to look for them in the rest of each node's lists, the shortest lists
+    first. Others are met in all lists, but by classes of size. In a list no two members of its
+    largest component meet; and a node of a long list leaves it if so many of its shingles are its
+    own that it is similar to no node of nearly its size there.
     """
-    x = entries.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component")])
-    y = entries.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component")])
-    near = x.join(y, "shingle").where((F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & _alike_in_size("x_n", "y_n"))
-    found = near.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x_n").alias("n"), F.first("y_n").alias("m"))
-    after = F.ceil(F.greatest("n", "m") * SIMILAR / 100) - 1
-    return found.where((100 + SIMILAR) * (F.col("c") + after) >= SIMILAR * (F.col("n") + F.col("m"))).select("a", "b")
+    members = entries.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = members.groupBy("shingle").agg(F.sum("__n").alias("size"), F.max_by("component", F.struct("__n", "component")).alias("most"))
+    by_node = Window.partitionBy("node")
+    sized = entries.join(sizes, "shingle").withColumn("long", F.max("size").over(by_node) > LONG_LIST).withColumn("all", F.count(F.lit(1)).over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("size", "shingle")))
+    sized = written(sized, "op5-sized")
+    alone = written(_unshared(docs, sized.where("long").select("node").distinct()), "op5-alone")
+    ranked = sized.join(alone, "node", "left").withColumn("most_shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    # Sets of n and 0.9 n or more share 57 n / 70 or more if they are similar.
+    hopeless = (F.col("size") > LONG_LIST) & (70 * F.col("most_shared") < 57 * F.col("n"))
+    ranked = ranked.withColumn("near", (F.col("rank") < F.col("all") - F.floor(F.col("n") * 9 / 140) + 1) & ~hopeless).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / CLASS).cast("int"))
+    # Nodes of long lists bring their lists along, so that pairs are judged where they meet.
+    brought = entries.groupBy("node").agg(F.collect_list("shingle").alias("lists")).where(F.size("lists") <= MOST_BROUGHT)
+    short, long = ranked.where(F.col("size") <= LONG_LIST), ranked.where(F.col("size") > LONG_LIST).join(brought, "node", "left")
+    near = _met(short.withColumn("lists", F.lit(None).cast("array<bigint>"))).unionByName(_met(long))
+    found = near.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.min(F.col("x_n") + F.col("y_n")).alias("sum"), F.min(F.greatest("x_n", "y_n")).alias("larger"))
+    lists = entries.groupBy("node").agg(F.collect_list("shingle").alias("lists"))
+    both = found.join(lists.select(F.col("node").alias("a"), F.col("lists").alias("__x")), "a").join(lists.select(F.col("node").alias("b"), F.col("lists").alias("__y")), "b")
+    return both.where(_can_be_similar(F.size(F.array_intersect("__x", "__y")), F.col("larger"), F.col("sum") - F.col("larger"))).select("a", "b")
+
+
+def _met(ranked: DataFrame) -> DataFrame:
+    """x_node, x_n, y_node, y_n of the pairs that meet in some list and pass all bounds; a pair may meet more than once."""
+    columns = ("node", "n", "component", "all", "near", "class", "long", "most_shared", "lists")
+    ups = lambda *x: F.array(*map(F.lit, x))
+    x = ranked.where(F.col("component") != F.col("most")).select("shingle", *[F.col(c).alias(f"x_{c}") for c in columns], F.explode(F.when(F.col("near"), ups(*range(-3, 4))).otherwise(ups(-3, -2, -1, 1, 2, 3))).alias("up")).withColumn("class", F.col("x_class") + F.col("up"))
+    y = ranked.select("shingle", "most", *[F.col(c).alias(f"y_{c}") for c in columns if c != "class"], "class")
+    alike = 10 * F.least("x_n", "y_n") >= 9 * F.greatest("x_n", "y_n")
+    # A pair of which neither is in the largest component would meet twice.
+    met = ((F.col("y_component") == F.col("most")) | (F.col("x_node") < F.col("y_node"))) & (F.col("x_component") != F.col("y_component")) & _alike_in_size("x_n", "y_n")
+    met = met & (~alike | (F.col("x_near") & F.col("y_near"))) & _can_be_similar(F.least("x_all", "y_all"), F.col("x_n"), F.col("y_n"))
+    met = met & (~(F.col("x_long") & F.col("y_long")) | ((100 + SIMILAR) * F.least("x_most_shared", "y_most_shared") >= SIMILAR * (F.col("x_n") + F.col("y_n"))))
+    met = met & F.when(F.col("x_lists").isNull() | F.col("y_lists").isNull(), True).otherwise(_can_be_similar(F.size(F.array_intersect("x_lists", "y_lists")), F.col("x_n"), F.col("y_n")))
+    return x.join(y, ["shingle", "class"]).where(met).select("x_node", "x_n", "y_node", "y_n")
+
+
+#: Sizes of one class differ by a tenth at most.
+CLASS = float(np.log(10 / 9))
+#: Lists of more members than this are long: pairing them costs more than reading their members again.
+LONG_LIST = 32
+#: A node of more lists than this doesn't bring them along; its pairs are judged later.
+MOST_BROUGHT = 512
+
+
+def _can_be_similar(shared: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m that share no more within their prefixes can reach the similarity."""
+    after = F.ceil(F.greatest(n, m) * SIMILAR / 100) - 1
+    return (100 + SIMILAR) * (shared + after) >= SIMILAR * (n + m)
 
 
 def digest(docs: DataFrame) -> DataFrame:
