@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,18 @@ def misses(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return requests.select("key").distinct().join(cache.where(F.col("expires_at") > now), "key", "left_anti")
 
 
+def through_cache(requests: DataFrame, log: DataFrame, compute: Callable[[DataFrame], DataFrame], now: float, ttl: int) -> tuple[DataFrame, DataFrame]:
+    """requests (with key) and value, and the writes to add to the log: only what isn't live is worked out.
+
+    compute gives (key, value) for the missing keys; a key that it leaves out stays null and isn't written.
+    """
+    cache = cache_state(log)
+    live = cache.where(F.col("expires_at") > now).select("key", "value")
+    fresh = compute(misses(requests, cache, F.lit(now))).select("key", "value").cache()
+    writes = fresh.select("key", "value", F.lit(now).alias("written_at"), F.monotonically_increasing_id().alias("seq"), F.lit(ttl).alias("ttl"))
+    return requests.join(live.unionByName(fresh), "key", "left"), writes
+
+
 def task_state(log: DataFrame, fields: list[str]) -> DataFrame:
     """task_id, fields, created_at, updated_at: the last given value of every field, from partial updates in order of seq."""
     last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields]

@@ -7,6 +7,8 @@ needs none keeps the result it has.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -47,8 +49,8 @@ def retrieved_web(retrievals: DataFrame, pages: DataFrame, settings: Settings =
     return _hits(asked, searched_pages(asked.select("query_id", F.col("sub_query").alias("query")), pages, settings.web_results).withColumnRenamed("url", "source_id"))
 
 
-def retrieved(retrievals: DataFrame, chunks: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The hits of all retrievals (question_id, sub_query_ord, sub_query, path, path_ord), in one table.
+def retrieved_local(retrievals: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """Hits by vector and by words of all retrievals (question_id, sub_query_ord, sub_query, path, path_ord).
 
     Chunks (chunk_id, chunk_ord, source, content) are searched by id; contents are joined to what is found.
     """
@@ -60,28 +62,83 @@ def retrieved(retrievals: DataFrame, chunks: DataFrame, pages: DataFrame, settin
     by_vector = dense.search(asked, stored, settings.top_k).withColumnRenamed("id", "chunk_id")
     # Every sub-query finds top_k at most.
     sent = F.broadcast if fits(retrievals, settings.broadcast_rows // settings.top_k) else lambda df: df
-    lists = [_hits(a, local.join(sent(f.select("query_id", "rank", "chunk_id")), "chunk_id")) for a, f in ((lex, by_words), (vec, by_vector))]
-    return fusion.all_hits(*lists, retrieved_web(retrievals, pages, settings))
+    found = [_hits(a, local.join(sent(f.select("query_id", "rank", "chunk_id")), "chunk_id")) for a, f in ((vec, by_vector), (lex, by_words))]
+    return found[0], found[1]
 
 
-def research(questions: DataFrame, chunks: DataFrame, pages: DataFrame, manifest: DataFrame, settings: Settings = DEFAULTS) -> Research:
-    """questions: question_id, question. Refused ones (see question_error) are left out."""
+def _steps(questions: DataFrame, chunks: DataFrame, pages: DataFrame, manifest: DataFrame, settings: Settings) -> Generator[tuple[str, DataFrame], None, Research]:
+    """The plan step by step: each step's name and table, none of which has run yet."""
     valid = questions.where(question_error(F.col("question"), settings.question_chars).isNull()).select("question_id", cleaned_question(F.col("question")).alias("question"))
     topics = F.broadcast(ingest.corpus_topics(manifest))
-    asked = decisions.routed(valid.crossJoin(topics), F.col("topics")).drop("topics")
-    asked = asked.withColumn("sub_queries", decisions.sub_queries(F.col("question"))).cache()
+    asked = decisions.routed(valid.crossJoin(topics), F.col("topics")).drop("topics").withColumn("sub_queries", decisions.sub_queries(F.col("question"))).cache()
+    yield "route_query", asked.select("question_id", "route")
+    yield "decompose_query", asked.select("question_id", "sub_queries")
     retrievals = fusion.fan_out(asked)
-    first = retrieved(retrievals, chunks, pages, settings).cache()
+    by_vector, by_words = (x.cache() for x in retrieved_local(retrievals, chunks, settings))
+    by_web = retrieved_web(retrievals, pages, settings).cache()
+    yield "retrieve_vector", by_vector
+    yield "retrieve_bm25", by_words
+    yield "web_search", by_web
+    first = fusion.all_hits(by_vector, by_words, by_web)
     fused = fusion.fused(first, settings.rrf_k)
+    yield "fuse_results", fused
     state = decisions.gate(asked.withColumn("correction_attempted", F.lit(False)), decisions.graded(fused, asked, settings), settings).cache()
+    yield "grade_and_score", state
     # The corrective pass: the web, for every sub-query of the questions that need it.
     needed = state.where("needs_correction")
-    again = retrieved_web(fusion.fan_out(needed.withColumn("route", F.lit("web"))), pages, settings)
+    again = retrieved_web(fusion.fan_out(needed.withColumn("route", F.lit("web"))), pages, settings).cache()
+    yield "corrective_web_search", again
     hits = first.unionByName(again)
     fused = fusion.fused(hits, settings.rrf_k).cache()
+    yield "fuse_results", fused
     grades = decisions.graded(fused, asked, settings)
     done = decisions.gate(state.select("question_id", "question", "route", "reasoning", "sub_queries", F.col("needs_correction").alias("correction_attempted")), grades, settings)
+    yield "grade_and_score", done
     answers = report.extracted_answers(fused, asked)
+    yield "synthesize_answer", answers
     reports = answers.withColumn("report", report.report_text(F.col("answer"), F.col("citations")))
+    yield "format_report", reports
     summary = done.select("question_id", "route", "sub_queries", "confidence", "correction_attempted").join(report.retrieval_counts(asked, hits, fused), "question_id")
     return Research(done, hits, fused, grades, reports, summary)
+
+
+def research(questions: DataFrame, chunks: DataFrame, pages: DataFrame, manifest: DataFrame, settings: Settings = DEFAULTS) -> Research:
+    """questions: question_id, question. Refused ones (see question_error) are left out."""
+    steps = _steps(questions, chunks, pages, manifest, settings)
+    while True:
+        try:
+            next(steps)
+        except StopIteration as end:
+            return end.value
+
+
+@dataclass(frozen=True)
+class Event:
+    """One of progress (a step has run), done, error: the last of a stream is done or error."""
+
+    kind: str
+    node: str | None = None
+    latency_ms: float | None = None
+    rows: int | None = None
+    message: str | None = None
+    result: Research | None = None
+
+
+def events(questions: DataFrame, chunks: DataFrame, pages: DataFrame, manifest: DataFrame, settings: Settings = DEFAULTS, deadline: float = 45.0) -> Iterator[Event]:
+    """The plan as it goes: each step is run before the next is begun, and timed. The deadline is for all steps."""
+    began, steps = time.monotonic(), _steps(questions, chunks, pages, manifest, settings)
+    try:
+        while True:
+            at = time.monotonic()
+            try:
+                node, df = next(steps)
+            except StopIteration as end:
+                yield Event("done", result=end.value)
+                return
+            rows = df.count()
+            yield Event("progress", node, round((time.monotonic() - at) * 1000, 1), rows)
+            if time.monotonic() - began > deadline:
+                yield Event("error", message="deadline passed")
+                return
+    except Exception as e:  # noqa: BLE001  a stream ends with an event, not with a traceback
+        yield Event("error", message=str(e))
