@@ -355,3 +355,16 @@ def digest(docs: DataFrame) -> DataFrame:
 def op5_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of near duplicates they are in."""
     return digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shingles FROM w
+), s AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM g),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b, n = m AND c = n AS equal FROM p WHERE 100 * c >= 75 * (n + m - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+e AS (SELECT a, min(b) AS twin FROM l WHERE equal GROUP BY a)
+SELECT g.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, least(g.doc_id, coalesce(twin, g.doc_id)) AS node FROM g JOIN k ON k.a = g.doc_id LEFT JOIN e ON e.a = g.doc_id"""
