@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -11,24 +12,40 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import hash_bucket, words
 from quern.settings import DEFAULTS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Queries that go through the vectors together; more queries take more passes, not more memory.
 QUERY_BLOCK = 4096
+#: Words whose buckets a task remembers.
+CACHED_WORDS = 500_000
 
 
 def hash_embeddings(df: DataFrame, key: str, text: str, buckets: int = 64) -> DataFrame:
-    """key and embedding: counts of hashed words, of length 1; all zeros for a text without words."""
-    hashed = df.select(key, F.explode_outer(words(F.col(text))).alias("__w")).select(key, hash_bucket(F.col("__w"), buckets).alias("__b"))
-    counts = hashed.groupBy(key, "__b").agg(F.count("__b").alias("__n"))
-    norm = F.sqrt(F.sum(F.col("__n") * F.col("__n")))
-    entries = F.map_from_entries(F.filter(F.collect_list(F.struct("__b", "__n")), lambda x: x["__b"].isNotNull()))
-    summed = counts.groupBy(key).agg(entries.alias("__m"), norm.alias("__norm"))
-    value = lambda b: F.when(F.col("__norm") > 0, F.coalesce(F.try_element_at("__m", b), F.lit(0)) / F.col("__norm")).otherwise(F.lit(0.0))
-    return summed.select(key, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), value).alias("embedding"))
+    """key and embedding: counts of words in lower case, hashed by SHA-256, of length 1; zeros for a text without words.
+
+    A row is worked out where it lies: nothing is shuffled. Words' buckets are remembered, within a bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                if len(known) > CACHED_WORDS:
+                    known.clear()
+                for t in part.column(1).to_pylist():
+                    words = (t or "").lower().split()
+                    for w in set(words).difference(known):
+                        known[w] = int.from_bytes(sha256(w.encode()).digest()) % buckets
+                    counts = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=buckets).astype(np.float64)
+                    rows.append(counts / max(np.sqrt((counts * counts).sum()), 1.0))
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * buckets + 1, buckets, dtype=np.int32)), pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([part.column(0), made], names=[key, "embedding"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.top_k, kind: str = "string") -> DataFrame:

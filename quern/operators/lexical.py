@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.common import fits
@@ -28,10 +28,47 @@ def term_stats(chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def index(chunks: DataFrame, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
-    """The tables of a persisted index: postings, doc_stats, term_stats, corpus_stats."""
-    listed = chunks.select("chunk_id", "chunk_ord", tokens(F.col("content")).alias("tokens"))
-    postings = listed.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return {"postings": postings, "doc_stats": listed.select("chunk_id", "chunk_ord", F.size("tokens").alias("dl")), "term_stats": term_stats(chunks, settings), "corpus_stats": corpus_stats(chunks)}
+    """The tables of an index: postings (chunk_id, chunk_ord, dl, term, tf), term_stats, corpus_stats.
+
+    Postings carry their chunk's length and place, so that a search joins nothing to them.
+    """
+    listed = chunks.select("chunk_id", "chunk_ord", tokens(F.col("content")).alias("__t"))
+    postings = listed.select("chunk_id", "chunk_ord", F.size("__t").alias("dl"), F.explode("__t").alias("term")).groupBy("chunk_id", "chunk_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return {"postings": postings, "term_stats": term_stats(chunks, settings), "corpus_stats": corpus_stats(chunks)}
+
+
+def save_index(chunks: DataFrame, path: str, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
+    """The index as tables in a folder; postings and terms are dealt and sorted by term."""
+    for name, df in index(chunks, settings).items():
+        dealt = df.repartition("term").sortWithinPartitions("term") if "term" in df.columns else df
+        dealt.write.mode("overwrite").parquet(f"{path}/{name}")
+    return load_index(chunks.sparkSession, path)
+
+
+def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "term_stats", "corpus_stats")}
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _ranked(tf: DataFrame, terms: DataFrame, stats: DataFrame, k: int, settings: Settings) -> DataFrame:
+    k1, b = settings.bm25_k1, settings.bm25_b
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
+    average = F.broadcast(stats.select(F.col("avg_tokens").alias("__avg")))
+    scored = tf.join(terms, "term").crossJoin(average).groupBy("query_id", "chunk_id", "chunk_ord").agg(F.sum(part).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_ord")
+    ranked = scored.where(F.round("score", 9) > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "chunk_id", "chunk_ord", "score")
+
+
+def search_index(queries: DataFrame, tables: dict[str, DataFrame], k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:
+    """As search(), over an index: postings of the queries' terms are all that is read on."""
+    asked = _asked(queries)
+    sent = F.broadcast if fits(asked, settings.broadcast_rows) else lambda df: df
+    terms = sent(tables["term_stats"].join(sent(asked), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    return _ranked(tables["postings"], terms, tables["corpus_stats"], k, settings)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:
@@ -41,17 +78,11 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, setti
     query has leave the scan; term and length are all that is shuffled, contents are not. Ties keep the
     chunks' order.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = _asked(queries)
     # Whether the queries' terms can be broadcast is settled once, on the queries alone.
     sent = F.broadcast if fits(asked, settings.broadcast_rows) else lambda df: df
-    vocabulary = sent(asked.select("term").distinct())
     terms = sent(term_stats(chunks, settings).join(sent(asked), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    stats = F.broadcast(corpus_stats(chunks).select(F.col("avg_tokens").alias("__avg")))
-    found = chunks.select("chunk_id", "chunk_ord", tokens(F.col("content")).alias("__t")).select("chunk_id", "chunk_ord", F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(vocabulary, "term", "left_semi")
+    listed = chunks.select("chunk_id", "chunk_ord", tokens(F.col("content")).alias("__t")).select("chunk_id", "chunk_ord", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    found = listed.join(sent(asked.select("term").distinct()), "term", "left_semi")
     tf = found.groupBy("chunk_id", "chunk_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    k1, b = settings.bm25_k1, settings.bm25_b
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
-    scored = tf.join(terms, "term").crossJoin(stats).groupBy("query_id", "chunk_id", "chunk_ord").agg(F.sum(part).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_ord")
-    ranked = scored.where(F.round("score", 9) > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "chunk_id", "chunk_ord", "score")
+    return _ranked(tf, terms, corpus_stats(chunks), k, settings)

@@ -23,6 +23,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("chunk_ord").alias("doc_id"), r6(F.col("score")).alias("score"))
 
 
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the tables of an index."""
+    found = lexical.search_index(asked_of(spark, sf_dir), lexical.index(chunks_of(spark, sf_dir)))
+    return found.select("query_id", "rank", F.col("chunk_ord").alias("doc_id"), r6(F.col("score")).alias("score"))
+
+
 def hash_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = dense.hash_embeddings(asked_of(spark, sf_dir), "query_id", "query")
     stored = dense.hash_embeddings(chunks_of(spark, sf_dir), "chunk_ord", "content").withColumnRenamed("chunk_ord", "id")
@@ -157,7 +163,7 @@ def research_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_id", "route", F.size("sub_queries").alias("n_sub_queries"), r6(F.col("confidence")).alias("confidence"), "correction_attempted", "vector", "bm25", "web", "fused", F.sha2("report", 256).alias("report_hash"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, hash_vector_topk, vector_topk, fan_out, web_hits, rrf_fuse, rrf_topn, corrective_union, confidence_gate, grade_documents, grade_fallback, route_questions, decompose_questions, citations, report_text, numbered_context, retrieval_summary, research_summary)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index_topk, hash_vector_topk, vector_topk, fan_out, web_hits, rrf_fuse, rrf_topn, corrective_union, confidence_gate, grade_documents, grade_fallback, route_questions, decompose_questions, citations, report_text, numbered_context, retrieval_summary, research_summary)}
 
 
 def _bm25(name: str, key: str, text: str, source: str) -> str:
@@ -200,6 +206,7 @@ a AS (SELECT question_id, string_agg(regexp_extract(content, '^\s*([^.!?\n]*[.!?
 
 SQL = {
     "bm25_topk": f"WITH {_bm25('lex', 'doc_id', 'text', 'documents')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM lex",
+    "bm25_index_topk": f"WITH {_bm25('lex', 'doc_id', 'text', 'documents')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM lex",
     "hash_vector_topk": f"WITH {_VECTORS} SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM byvec",
     "vector_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM e q, e WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank, vec_id, round(distance, 6) + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank FROM d) WHERE rank <= 4""",

@@ -46,6 +46,14 @@ def test_bm25(spark):
     assert rows[0].score == pytest.approx(2 * (math.log(3.5) - math.log(1.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avg)))
 
 
+def test_saved_index(spark, tmp_path):
+    chunks = spark.createDataFrame([(str(i), i, "s", f"word{i % 7} word{i % 3} the end") for i in range(60)], CHUNK)
+    queries = spark.createDataFrame([(i, f"word{i} the word5") for i in range(7)], "query_id long, query string")
+    saved = lexical.save_index(chunks, f"{tmp_path}/index")
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert rows(lexical.search_index(queries, saved)) == rows(lexical.search(queries, chunks))
+
+
 def test_dense(spark):
     texts = spark.createDataFrame([("a", "red fox"), ("b", "blue whale"), ("c", ""), ("d", "red fox")], "id string, text string")
     stored = dense.hash_embeddings(texts, "id", "text")
