@@ -25,8 +25,15 @@ def halves(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def _number(text: Column) -> Column:
+    """The first 32 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def _scrambled(value: Column, round_no: Column, seed: int, modulus: int) -> Column:
-    return F.pmod(F.xxhash64(value, round_no, F.lit(seed).cast("long")), F.lit(modulus).cast("long"))
+    """The round function: MD5 of seed, round and value, which any SQL engine has."""
+    said = F.concat_ws(":", F.lit(str(seed)), round_no.cast("string"), value.cast("string"))
+    return F.pmod(_number(said), F.lit(modulus).cast("long"))
 
 
 def _step(x: Column, a: int, b: int, seed: int, forward: bool) -> Column:
@@ -50,15 +57,18 @@ def _walk(x: Column, n: int, steps: int, seed: int, forward: bool) -> Column:
 
 
 def walk_length(spark: SparkSession, n: int, seed: int = SEED) -> int:
-    """Steps after which every walk is back below n.
+    """Steps after which every walk, forwards or backwards, is back below n.
 
-    A walk leaves [0, n) only over the fewer than sqrt(n) + 1 numbers from n to a * b, so those
-    are tried: the bound is proven, not probable.
+    A walk leaves [0, n) only over the fewer than sqrt(n) + 1 numbers from n to a * b. Of these, the ones
+    that it can enter by, whose predecessor is below n, are tried: the bound is proven, not probable.
+    A cycle that lies wholly at n and above is entered by no walk and never tried.
     """
     a, b = halves(n)
     steps = 4
-    while a * b > n and not spark.range(n, a * b).where(_walk(F.col("id"), n, steps, seed, True) >= n).isEmpty():
-        steps *= 2
+    for forward in (True, False):
+        entries = spark.range(n, a * b).where(_step(F.col("id"), a, b, seed, not forward) < n)
+        while a * b > n and not entries.where(_walk(F.col("id"), n, steps, seed, forward) >= n).isEmpty():
+            steps *= 2
     return steps
 
 
@@ -80,7 +90,7 @@ def numbered(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // ROWS_PER_BUCKET))
     alike = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
-    alike = alike.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    alike = alike.withColumn("__bucket", F.pmod(_number(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])), F.lit(buckets)))
     # At most MOST_BUCKETS rows, whatever the input.
     sums = alike.groupBy("__bucket").agg(F.sum("__copies").alias("__n"))
     w = Window.orderBy("__bucket")
@@ -119,3 +129,29 @@ def digest(docs: DataFrame, n_shards: int = 40) -> DataFrame:
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law `rows`."""
     return digest(table(spark, sf_dir, "documents"))
+
+
+# Columns of documents, and a CRC-32 by table over the bytes of a text.
+ORACLE_SQL = f"""WITH bits AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(k AS BIGINT)) ORDER BY k) AS crc FROM range(256) t(k)),
+d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+y AS (SELECT doc_id, strlen(t) + 16 AS size, list_transform(range(strlen(t)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM d),
+k AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c // 256, bits.crc[1 + (xor(c, x) % 256)]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM y, bits),
+n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, least({MOST_BUCKETS}, greatest({LEAST_BUCKETS}, count(*) // {ROWS_PER_BUCKET})) AS buckets FROM k),
+m AS (SELECT n, a, (n + a - 1) // a AS b, buckets FROM n),
+o AS (SELECT k.*, m.*, row_number() OVER (ORDER BY CAST('0x' || substr(md5(doc_id || ':' || size || ':' || text_crc32), 1, 8) AS BIGINT) % buckets, doc_id, size, text_crc32) - 1 AS row_number FROM k, m),
+p AS (SELECT *, list_reduce(range(1, 65), lambda x, s: CASE WHEN s > 1 AND x < n THEN x ELSE {{step}} END, row_number) AS place FROM o)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % 40 AS INT) AS shard, place // 40 AS slot, CAST(NULL AS INT) AS grown_shard, row_number FROM p"""
+
+
+def _step_sql() -> str:
+    """One pass over x, in SQL: the halves are packed as l * b + r after each round."""
+    x = "x"
+    for i in range(ROUNDS):
+        hashed = lambda v: f"CAST('0x' || substr(md5('{SEED}:{i}:' || ({v})), 1, 8) AS BIGINT)"  # noqa: B023, E731
+        left, right = "q // b", "q % b"
+        body = f"((({left}) + {hashed(right)} % a) % a) * b + {right}" if i % 2 == 0 else f"({left}) * b + (({right}) + {hashed(left)} % b) % b"
+        x = f"list_transform([{x}], lambda q: {body})[1]"
+    return x
+
+
+ORACLE_SQL = ORACLE_SQL.replace("{step}", _step_sql())

@@ -156,7 +156,7 @@ def test_classifier_on_held_out_labels(spark, data):
 # ---------------------------------------------------------------- shards, secrets
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 400])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 10, 13, 14, 97])
 def test_permutation(spark, n):
     from pyspark.sql import functions as F
 
