@@ -80,7 +80,7 @@ def measures(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     step = docs.select(*others, text.alias("text"), words_of(F.col("text")).alias("__words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHARS)).alias("__lines"))
-    windows = F.when(F.size("__words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words") - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    windows = F.when(F.size("__words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.size("__words") - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get("__words", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     step = step.select(
         *others, windows.alias("__windows"), F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), _without(F.col("text"), "[#*$%&|<>]+").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), F.size("__lines").cast("long").alias("n_lines"),
