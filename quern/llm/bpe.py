@@ -22,12 +22,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import lean_batches, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Distinct words whose results a task keeps; beyond that it forgets all and begins anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Words that are longer are worked out each time they come, so that the cache is bounded in bytes too.
 CACHED_LENGTH = 64
 #: New words that are merged in one flat array, as a count of their bytes.
@@ -288,6 +288,7 @@ def _mapped(docs: DataFrame, columns: dict[str, pa.DataType], make: Callable[[],
                 made = [pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), columns.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i, c in enumerate(part.schema.names) if c != "__text"), *made], names=[*(c for c in part.schema.names if c != "__text"), *columns])
 
+    lean_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return kept.mapInArrow(run, f"{fields}, {more}")

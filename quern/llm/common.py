@@ -38,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Batches sent to Python hold no more than this, whatever a session allows: two tasks of an executor hold some each.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES, if they are higher or off."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))

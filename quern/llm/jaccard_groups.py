@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, table, written
+from quern.llm.common import bounded, lean_batches, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,7 +34,7 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Rounds with one leader per list before the last one.
 LEADER_ROUNDS = 2
 #: A text is worked on in pieces of at most about so many bytes of many documents, or alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -109,6 +109,7 @@ def _mapped(docs: DataFrame, of: Callable[[list[np.ndarray]], list[pa.Array]], n
                 made = of(shingle_sets([t or "" for t in part.column(1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", *names])
 
+    lean_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
 
@@ -145,6 +146,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
         for b, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "counts"])
 
+    lean_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(count, "block int, counts binary")
     summed = counts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()
     total = np.zeros(buckets, np.int64)

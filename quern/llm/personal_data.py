@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import lean_batches, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -197,6 +197,7 @@ def _text_rows(docs: DataFrame, make: Callable[[list[str]], list[pa.Array]], kep
                 made = make([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *made], names=[*kept, *names])
 
+    lean_batches(docs.sparkSession)
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
     return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(run, own + fields)
 

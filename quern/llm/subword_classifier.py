@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import lean_batches, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,7 +30,7 @@ BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 12, (3, 4, 5)
 EPOCHS, BATCH, RATE, SEED = 12, 16, 0.4, 7
 #: How much more a vector moves for an error than its share in the document's mean.
 SCALE = 50.0
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 100_000, 64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -134,6 +134,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """The model for labels (doc_id, quality) of documents that aren't held out; at most `rows` labels are used."""
+    lean_batches(docs.sparkSession)
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.select(F.col("doc_id").alias("__id"), (F.col("quality") > 0).cast("int").alias("label"))
     # A label may come twice; the order leaves no choice between rows that differ.
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     bags = sample.select("text", "label").mapInArrow(_bags, "label int, ids binary, counts binary")
     got = sorted((r["label"], bytes(r["ids"]), bytes(r["counts"])) for r in bags.collect())
-    return trained([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(c, np.float32)) for _, i, c in got], np.array([g[0] for g in got], np.int64))
+    return trained([(np.frombuffer(i, np.int32), np.frombuffer(c, np.float32)) for _, i, c in got], np.array([g[0] for g in got], np.int64))
 
 
 class Scorer:
@@ -154,8 +155,8 @@ class Scorer:
         split = [WORD.findall(t) for t in texts]
         fresh = [*dict.fromkeys(w for ws in split for w in ws if w not in self.known)]
         new: dict[str, tuple[float, int]] = {}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        for at in range(0, len(fresh), 5_000):
+            part = fresh[at : at + 5_000]
             ids, of = features(part)
             totals = np.bincount(of, self.model.weights[ids], len(part)).tolist()
             new.update(zip(part, zip(totals, np.bincount(of, minlength=len(part)).tolist(), strict=True), strict=True))
@@ -171,6 +172,7 @@ class Scorer:
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with the score of every whole text; a null or empty text has the score of the bias alone."""
+    lean_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
