@@ -3,6 +3,8 @@
 A document's set are its distinct shingles of five words. With all sets in one global order, rare
 shingles first, two sets of similarity t share a shingle within the first n - ceil(t n) + 1 of each.
 Documents with equal prefix and size make one group and are listed once under each prefix shingle.
+Shingles that one group alone lists make no list, so members of a group also meet in a list of their
+own. That list stands for their whole prefix, so no bound on the number of shared lists holds for it.
 
 Pairs of groups come from those lists in rounds. In a round each list offers only its members paired
 with one leader; what proves similar is joined into components, and a list whose members are all in
@@ -31,6 +33,8 @@ WORDS = 5
 SIMILAR = 75
 #: Buckets of the count sketch that orders shingles by frequency; the order may be any, so collisions cost time alone.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
+#: Different sets of one size below this are never similar: n - 1 shared of n + 1 are too few.
+LEAST_UNEQUAL = -(-(100 + SIMILAR) // (100 - SIMILAR))
 #: Rounds with one leader per list before the last one.
 LEADER_ROUNDS = 2
 #: A text is worked on in pieces of at most about so many bytes of many documents, or alone.
@@ -236,9 +240,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
     # At the level of nodes: lists of prefixes, and a list for each group of more than one.
-    entries = lists.join(members.select("n", "group", "node"), ["n", "group"]).select("shingle", "node", "n")
-    crowded = members.where("node != leader").select("n", "group").distinct()
-    own = members.join(crowded, ["n", "group"], "left_semi").select(F.xxhash64("n", "group", F.lit("group")).alias("shingle"), "node", "n")
+    entries = lists.join(members.select("n", "group", "node"), ["n", "group"]).select("shingle", "node", "n", F.lit(False).alias("own"))
+    crowded = members.where("node != leader").where(F.col("n") >= LEAST_UNEQUAL).select("n", "group").distinct()
+    own = members.join(crowded, ["n", "group"], "left_semi").select(F.xxhash64("n", "group", F.lit("group")).alias("shingle"), "node", "n", F.lit(True).alias("own"))
     entries = written(entries.unionByName(own), "op5-entries")
 
     links = inner.limit(0)
@@ -250,11 +254,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         open_ = now.join(sides.where("__low != __high"), "shingle")
         if round_no < LEADER_ROUNDS:
             lead = open_.where(F.col("component") != F.col("__lead.component")).where(_alike_in_size("n", "__lead.n"))
-            offered = lead.select(F.least("node", "__lead.node").alias("a"), F.greatest("node", "__lead.node").alias("b"), F.least("n", "__lead.n").alias("m"))
+            offered = lead.select(F.least("node", "__lead.node").alias("a"), F.greatest("node", "__lead.node").alias("b"), F.least("n", "__lead.n").alias("m"), "own")
             # The round may pass over pairs: the last one doesn't. Similar sets share much of their prefixes.
-            pairs = offered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m")).where("20 * c >= m OR m < 40").select("a", "b")
+            pairs = offered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.max("own").alias("own")).where("own OR 20 * c >= m OR m < 40").select("a", "b")
         else:
-            pairs = _all_pairs(written(open_.select("shingle", "node", "n", "component"), "op5-open"), docs)
+            pairs = _all_pairs(written(open_.select("shingle", "node", "n", "own", "component"), "op5-open"), docs)
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs, "op5-offered")
@@ -290,7 +294,8 @@ def _all_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
     their lists: it is enough to look for them in the rest of each node's lists, the shortest lists
     first. Others are met in all lists, but by classes of size. In a list no two members of its
     largest component meet; and a node of a long list leaves it if so many of its shingles are its
-    own that it is similar to no node of nearly its size there.
+    own that it is similar to no node of nearly its size there. In a group's own list all members meet
+    but those that sets of the same size rule out, whatever other lists they share.
     """
     members = entries.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("__n"))
     sizes = members.groupBy("shingle").agg(F.sum("__n").alias("size"), F.max_by("component", F.struct("__n", "component")).alias("most"))
@@ -301,30 +306,34 @@ def _all_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
     ranked = sized.join(alone, "node", "left").withColumn("most_shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     # Sets of n and 0.9 n or more share 57 n / 70 or more if they are similar.
     hopeless = (F.col("size") > LONG_LIST) & (70 * F.col("most_shared") < 57 * F.col("n"))
-    ranked = ranked.withColumn("near", (F.col("rank") < F.col("all") - F.floor(F.col("n") * 9 / 140) + 1) & ~hopeless).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / CLASS).cast("int"))
+    # Similar sets of n both share 6 n / 7 or more.
+    apart = (F.col("size") > LONG_LIST) & (7 * F.col("most_shared") < 6 * F.col("n"))
+    first = (F.col("rank") < F.col("all") - F.floor(F.col("n") * 9 / 140) + 1) & ~hopeless
+    ranked = ranked.withColumn("near", F.when(F.col("own"), ~apart).otherwise(first)).where("near OR NOT own").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / CLASS).cast("int"))
     # Nodes of long lists bring their lists along, so that pairs are judged where they meet.
     brought = entries.groupBy("node").agg(F.collect_list("shingle").alias("lists")).where(F.size("lists") <= MOST_BROUGHT)
     short, long = ranked.where(F.col("size") <= LONG_LIST), ranked.where(F.col("size") > LONG_LIST).join(brought, "node", "left")
     near = _met(short.withColumn("lists", F.lit(None).cast("array<bigint>"))).unionByName(_met(long))
-    found = near.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.min(F.col("x_n") + F.col("y_n")).alias("sum"), F.min(F.greatest("x_n", "y_n")).alias("larger"))
+    found = near.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.min(F.col("x_n") + F.col("y_n")).alias("sum"), F.min(F.greatest("x_n", "y_n")).alias("larger"), F.max("own").alias("own"))
     lists = entries.groupBy("node").agg(F.collect_list("shingle").alias("lists"))
     both = found.join(lists.select(F.col("node").alias("a"), F.col("lists").alias("__x")), "a").join(lists.select(F.col("node").alias("b"), F.col("lists").alias("__y")), "b")
-    return both.where(_can_be_similar(F.size(F.array_intersect("__x", "__y")), F.col("larger"), F.col("sum") - F.col("larger"))).select("a", "b")
+    return both.where(F.col("own") | _can_be_similar(F.size(F.array_intersect("__x", "__y")), F.col("larger"), F.col("sum") - F.col("larger"))).select("a", "b")
 
 
 def _met(ranked: DataFrame) -> DataFrame:
-    """x_node, x_n, y_node, y_n of the pairs that meet in some list and pass all bounds; a pair may meet more than once."""
-    columns = ("node", "n", "component", "all", "near", "class", "long", "most_shared", "lists")
+    """x_node, x_n, y_node, y_n, own (met in their group's own list) of the pairs that meet in some list and pass all bounds; a pair may meet more than once."""
+    columns = ("node", "n", "own", "component", "all", "near", "class", "long", "most_shared", "lists")
     ups = lambda *x: F.array(*map(F.lit, x))
-    x = ranked.where(F.col("component") != F.col("most")).select("shingle", *[F.col(c).alias(f"x_{c}") for c in columns], F.explode(F.when(F.col("near"), ups(*range(-3, 4))).otherwise(ups(-3, -2, -1, 1, 2, 3))).alias("up")).withColumn("class", F.col("x_class") + F.col("up"))
+    x = ranked.where(F.col("component") != F.col("most")).select("shingle", *[F.col(c).alias(f"x_{c}") for c in columns], F.explode(F.when(F.col("own"), ups(0)).when(F.col("near"), ups(*range(-3, 4))).otherwise(ups(-3, -2, -1, 1, 2, 3))).alias("up")).withColumn("class", F.col("x_class") + F.col("up"))
     y = ranked.select("shingle", "most", *[F.col(c).alias(f"y_{c}") for c in columns if c != "class"], "class")
     alike = 10 * F.least("x_n", "y_n") >= 9 * F.greatest("x_n", "y_n")
     # A pair of which neither is in the largest component would meet twice.
     met = ((F.col("y_component") == F.col("most")) | (F.col("x_node") < F.col("y_node"))) & (F.col("x_component") != F.col("y_component")) & _alike_in_size("x_n", "y_n")
-    met = met & (~alike | (F.col("x_near") & F.col("y_near"))) & _can_be_similar(F.least("x_all", "y_all"), F.col("x_n"), F.col("y_n"))
+    own = F.col("x_own") & F.col("y_own")
+    met = met & (~alike | (F.col("x_near") & F.col("y_near"))) & (own | _can_be_similar(F.least("x_all", "y_all"), F.col("x_n"), F.col("y_n")))
     met = met & (~(F.col("x_long") & F.col("y_long")) | ((100 + SIMILAR) * F.least("x_most_shared", "y_most_shared") >= SIMILAR * (F.col("x_n") + F.col("y_n"))))
-    met = met & F.when(F.col("x_lists").isNull() | F.col("y_lists").isNull(), True).otherwise(_can_be_similar(F.size(F.array_intersect("x_lists", "y_lists")), F.col("x_n"), F.col("y_n")))
-    return x.join(y, ["shingle", "class"]).where(met).select("x_node", "x_n", "y_node", "y_n")
+    met = met & F.when(own | F.col("x_lists").isNull() | F.col("y_lists").isNull(), True).otherwise(_can_be_similar(F.size(F.array_intersect("x_lists", "y_lists")), F.col("x_n"), F.col("y_n")))
+    return x.join(y, ["shingle", "class"]).where(met).select("x_node", "x_n", "y_node", "y_n", own.alias("own"))
 
 
 #: Sizes of one class differ by a tenth at most.

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard_groups, template_leaks, warc_revisits
@@ -60,6 +61,25 @@ def test_last_round_alone(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_components(rows)
 
 
+def test_links_inside_a_group(spark, monkeypatch):
+    """Texts of one size and one prefix, whose prefix no other group lists, are still compared; the order of shingles may be any."""
+    monkeypatch.setattr(jaccard_groups, "frequency_levels", lambda docs: np.zeros(1 << jaccard_groups.SKETCH_BITS, np.uint8))
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for words in (6, 8, 10, 11, 14, 20, 30, 44, 45, 60, 100, 204, 300):
+        for _ in range(3):
+            base = [word() for _ in range(words - 1)]
+            texts += [" ".join([*base, word()]) for _ in range(2)]
+    rows = [*enumerate(texts)]
+    wanted = brute_components(rows)
+    for rounds, long in ((2, 32), (0, 1)):
+        monkeypatch.setattr(jaccard_groups, "LEADER_ROUNDS", rounds)
+        monkeypatch.setattr(jaccard_groups, "LONG_LIST", long)
+        out = jaccard_groups.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == wanted
+
+
 def test_templates(spark):
     item = "Tom has 12 red apples and gives 5 of them to Anna before the long train leaves Berlin at 9 km per hour."
     rng = random.Random(5)
