@@ -135,6 +135,29 @@ def context_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.context_precision(evaluate.context_pairs(got, refs), questions).select("question_id", r6(F.col("precision")).alias("precision"))
 
 
+def whole_contexts_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As contexts_of, but of whole texts: each item is a question whose reference is its text, and all documents were retrieved.
+
+    Too slow for SQL, and characters aren't bare here, so these queries have none.
+    """
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = items.count()
+    refs = items.select("question_id", F.lit(0).alias("ref_no"), F.col("text").alias("reference"))
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("question_id"), F.floor(F.col("doc_id") / n).alias("rank"), F.coalesce("text", F.lit("")).alias("retrieved"))
+    own = items.where("question_id % 3 <> 0").select("question_id", F.lit(-1).cast("long").alias("rank"), F.concat(F.lit("seen: "), F.col("text")).alias("retrieved"))
+    return items.select("question_id"), refs, texts.unionByName(own)
+
+
+def context_recall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, refs, got = whole_contexts_of(spark, sf_dir)
+    return evaluate.context_recall(evaluate.context_pairs(got, refs), questions, refs).select("question_id", r6(F.col("recall")).alias("recall"))
+
+
+def context_precision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, refs, got = whole_contexts_of(spark, sf_dir)
+    return evaluate.context_precision(evaluate.context_pairs(got, refs), questions).select("question_id", r6(F.col("precision")).alias("precision"))
+
+
 def metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of numbers some of which aren't: NaN is skipped."""
     rows = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, F.lit(float("nan"))).otherwise(F.col("quality").cast("double")).alias("quality"), F.col("toxic").cast("double").alias("toxic"))
@@ -150,7 +173,7 @@ def question_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("conv_id", F.posexplode(F.slice("t", 1, 3)).alias("line_no", "t")).select("conv_id", "line_no", "t.turn", F.size(sub_queries(F.col("t.text"))).alias("parts"))
 
 
-QUERIES = {f.__name__: f for f in (visit_sequence, latency_by_stage, total_latency, formatted_latency, visits_by_node, stage_status, stream_frames, task_state, registry_evict, upload_status, cache_lookup, rate_windows, route_match, context_recall, context_precision, metric_means, question_limit)}
+QUERIES = {f.__name__: f for f in (visit_sequence, latency_by_stage, total_latency, formatted_latency, visits_by_node, stage_status, stream_frames, task_state, registry_evict, upload_status, cache_lookup, rate_windows, route_match, context_recall, context_precision, context_recall_whole, context_precision_whole, metric_means, question_limit)}
 
 _VISITS = f"WITH {_NODES_SQL}, v AS (SELECT user_id AS run_id, ts, event_id, node, value AS latency_ms, event_id % 2 = 0 AS loading, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events JOIN n USING (event_type))"
 _STATE = """WITH l AS (SELECT user_id AS task_id, event_id AS seq, epoch_us(ts) / 1000000 AS ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'indexed' END AS stage, CASE WHEN event_type <> 'error' THEN 'message ' || event_id END AS message, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error, CASE WHEN event_type = 'purchase' THEN event_id % 100 END AS indexed_chunks FROM events),

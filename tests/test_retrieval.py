@@ -117,3 +117,40 @@ def test_evaluation(spark):
     assert {r.question_id: r.recall for r in evaluate.context_recall(pairs, questions, refs).collect()} == {1: 0.5, 2: None}
     # The third is half like the first reference: enough for precision, not for recall.
     assert {r.question_id: r.precision for r in evaluate.context_precision(pairs, questions).collect()}[1] == pytest.approx((1 / 2 + 2 / 3) / 2)
+
+
+def test_context_metrics_of_whole_texts(spark, tmp_path):
+    """Against brute force: what follows the first characters counts, in any language."""
+    from quern.queries import catalogue
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    items = [(i, f"item {i} " + "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(150 + i))) for i in range(4)]
+    docs = [
+        (0, items[0][1][:60] + "\u00e9 " * 300, "en"),
+        (1, "none", "en"),
+        (2, items[2][1].replace("a", "\u00e4"), "de"),
+        (3, items[3][1][:70] + "x" * 80, "fr"),
+        (4, items[0][1], "de"),
+        (5, "\u00fc" * 200, "de"),
+        (6, "", "en"),
+        (7, items[3][1], "en"),
+    ]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    recall, precision = {}, {}
+    for i, text in items:
+        got = ([f"seen: {text}"] if i % 3 else []) + [t for d, t, _ in docs if d % 4 == i]
+        near = [1 - distance(g, text) / max(len(g), len(text)) for g in got]
+        recall[i] = float(max(near) > 0.5)
+        hits = [x >= 0.5 for x in near]
+        precision[i] = sum(sum(hits[: k + 1]) / (k + 1) for k, h in enumerate(hits) if h) / (sum(hits) + 1e-10)
+    queries = catalogue()[0]
+    assert {r.question_id: r.recall for r in queries["context_recall_whole"](spark, str(tmp_path)).collect()} == recall
+    assert {r.question_id: r.precision for r in queries["context_precision_whole"](spark, str(tmp_path)).collect()} == pytest.approx(precision, abs=1e-6)
