@@ -51,19 +51,20 @@ def hash_embeddings(df: DataFrame, key: str, text: str, buckets: int = 64) -> Da
 def search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.top_k, kind: str = "string") -> DataFrame:
     """query_id, rank, id, distance of the k nearest vectors by cosine distance, exactly.
 
-    queries: query_id (long), embedding; vectors: id (of the given kind), embedding. Query blocks of a
-    fixed size are sent to the vectors, each batch keeps its own best k, and the best of those are
+    queries: query_id (long), embedding; vectors: id (of the given kind), embedding. Query blocks of one
+    length and a fixed size are sent to the vectors, each batch keeps its own best k, and the best of those are
     ranked: what is shuffled is k rows per query and batch. Zero vectors have distance 1 to all; ties go
     by distance to nine places, then id. Vectors of another length than the query's are not compared.
     """
     spark = queries.sparkSession
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
-    for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
-        part = _nearest(vectors, [r["query_id"] for r in rows], [r["embedding"] for r in rows], k, kind) if rows else None
-        found = part if found is None else found if part is None else found.unionByName(part)
+    for width, count in sorted(tuple(r) for r in asked.groupBy(F.size("embedding")).count().collect()):
+        blocks = -(-count // QUERY_BLOCK)
+        for i in range(blocks):
+            rows = asked.where(F.size("embedding") == width).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+            part = _nearest(vectors, [r["query_id"] for r in rows], [r["embedding"] for r in rows], k, kind) if rows else None
+            found = part if found is None else found if part is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], f"query_id long, rank int, id {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
@@ -71,8 +72,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.top_k, kind
 
 
 def _nearest(vectors: DataFrame, ids: list[int], queries: list[list[float]], k: int, kind: str) -> DataFrame:
-    width = max(map(len, queries))
-    sent = vectors.sparkSession.sparkContext.broadcast((np.array(ids), np.array([q if len(q) == width else [0.0] * width for q in queries])))
+    """The best k of every batch for queries of one length."""
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array(ids), np.array(queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = sent.value
@@ -85,7 +86,7 @@ def _nearest(vectors: DataFrame, ids: list[int], queries: list[list[float]], k:
                 rows = np.flatnonzero(sizes == q.shape[1])
                 if not len(rows):
                     continue
-                v = np.array(values.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), -1)
+                v = np.array(values.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), q.shape[1])
                 v = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
                 distance = 1 - q @ v.T
                 keep = min(k, len(rows))

@@ -154,3 +154,11 @@ def test_context_metrics_of_whole_texts(spark, tmp_path):
     queries = catalogue()[0]
     assert {r.question_id: r.recall for r in queries["context_recall_whole"](spark, str(tmp_path)).collect()} == recall
     assert {r.question_id: r.precision for r in queries["context_precision_whole"](spark, str(tmp_path)).collect()} == pytest.approx(precision, abs=1e-6)
+
+
+def test_search_with_vectors_of_mixed_length(spark):
+    """A query meets the vectors of its own length, whatever other queries are in its block."""
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0])], "query_id long, embedding array<double>")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [0.0, 3.0, 0.0]), ("d", [1.0, 1.0, 1.0])], "id string, embedding array<double>")
+    found = dense.search(queries, vectors, 2).collect()
+    assert {(r.query_id, r["rank"]): (r.id, round(r.distance, 6)) for r in found} == {(1, 1): ("a", 0.0), (1, 2): ("b", 1.0), (2, 1): ("c", 0.0), (2, 2): ("d", round(1 - 3**-0.5, 6))}
