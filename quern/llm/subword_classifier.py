@@ -1,8 +1,9 @@
 """Quality classifier on subword embeddings, trained by stochastic gradient descent in numpy.
 
-A document is the mean of the vectors of its words and of their character n-grams, hashed into one
-table of buckets, and of one vector for each pair of a word with itself; a softmax over that mean gives the classes. As the output is linear in the mean, a
-trained model comes down to one weight per bucket: scoring adds up one number per word.
+A document has three means: of the vectors of its words, of their character n-grams, and of its pairs of
+neighbouring words, all hashed into one table of buckets. The mean of the three goes into a softmax over the classes. As
+the output is linear in that mean, a trained model comes down to one weight per bucket: scoring adds up numbers
+that are known per word, and one per pair.
 """
 
 from __future__ import annotations
@@ -11,26 +12,26 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import lean_batches, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: At most so many labelled documents are learned from, those with the lowest hash of their id.
-TRAINING_ROWS = 2_500
-BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 12, (3, 4, 5)
-EPOCHS, BATCH, RATE, SEED = 12, 16, 0.4, 7
-#: How much more a vector moves for an error than its share in the document's mean.
-SCALE = 50.0
-CACHED_WORDS, CACHED_LENGTH = 100_000, 64
+#: At most so many labelled documents are learned from, those with the lowest hash of their id, none longer than
+#: TRAINING_LONGEST bytes, and of these the first TRAINING_BYTES of text: what the driver holds is bounded.
+TRAINING_ROWS, TRAINING_BYTES, TRAINING_LONGEST = 2_500, 8 << 20, 1 << 16
+BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 12, (3, 4, 5)
+EPOCHS, RATE, SEED = 12, 5.0, 7
+#: Words whose numbers a task keeps, and their characters; beyond either it forgets all and begins anew.
+CACHED_WORDS, CACHED_CHARS = 100_000, 1 << 20
+#: Words, n-grams and pairs of words each have a mean of their own.
+KINDS = 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -40,16 +41,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of all words, and the number of the word that each is of."""
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every word, the buckets of all n-grams of all words, and the number of the word that each n-gram is of."""
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     flat = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     ends = np.cumsum(sizes)
     of = np.repeat(np.arange(len(words)), sizes)
     left = ends[of] - np.arange(len(flat))
     place = (sizes[of] - left).astype(np.uint64)
-    whole = np.add.reduceat(flat * _mixed(place + np.uint64(1)), ends - sizes) if len(words) else flat
-    hashes, owners = [_mixed(whole)], [np.arange(len(words))]
+    whole = _mixed(np.add.reduceat(flat * _mixed(place + np.uint64(1)), ends - sizes))
+    hashes, owners = [], []
     for n in GRAMS:
         at = np.flatnonzero(left >= n)
         h = np.full(len(at), n, np.uint64)
@@ -57,117 +60,126 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = h * np.uint64(0x100000001B3) + flat[at + k]
         hashes.append(_mixed(h))
         owners.append(of[at])
-    return (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
+    return whole, bucket(np.concatenate(hashes)), np.concatenate(owners)
 
 
-def pairs_of_one(words: list[str]) -> int:
-    """How many words come right after themselves: pairs that share the vector at BUCKETS."""
-    return sum(map(eq, words, islice(words, 1, None)))
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def pair_buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The buckets of pairs of words, in order, from the words' hashes."""
+    return bucket(_mixed(left * np.uint64(0x9E3779B97F4A7C15) + right))
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's features, and the share of each in the mean of the three means; no words: none."""
+    words = WORD.findall(text)
+    whole, grams, _ = features(words)
+    kinds = [bucket(whole), grams, pair_buckets(whole[:-1], whole[1:])]
+    shares = np.concatenate([np.full(len(k), 1 / (KINDS * max(1, len(k)))) for k in kinds])
+    found, which = np.unique(np.concatenate(kinds), return_inverse=True)
+    return found.astype(np.int32), np.bincount(which, shares, len(found)).astype(np.float32)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log odds of class 1: bias plus the mean weight over a document's features."""
+    """Log odds of class 1: the bias, plus the weights of a document's features by their shares."""
 
     weights: np.ndarray
     bias: float
 
-    def score(self, total: float, n: float) -> float:
-        z = self.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -60.0, 60.0))))
+    def score(self, total: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.bias + total, -60.0, 60.0)))
 
 
 def trained(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
-    """docs: buckets and how often each comes, of every document. The same input gives the same model.
+    """docs: the bag of every document. One document is one step; the same input gives the same model.
 
     Without documents the score is 0.5; with one class it is that class's smoothed share.
     """
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS + 1, np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((DIMENSIONS, 2), np.float32), np.log(np.array([1 - share, share], np.float32))
     wanted = np.eye(2, dtype=np.float32)[labels]
     full = [i for i, (ids, _) in enumerate(docs) if len(ids)]
-    steps, step = EPOCHS * -(-len(full) // BATCH), 0
+    steps, step = EPOCHS * len(full), 0
     for _ in range(EPOCHS):
-        order = rng.permutation(full)
-        for at in range(0, len(order), BATCH):
-            rate = RATE * (1 - step / steps)
+        for i in rng.permutation(full):
+            rate = np.float32(RATE * (1 - step / steps))
             step += 1
-            part = [docs[i] for i in order[at : at + BATCH]]
-            ids = np.concatenate([p[0] for p in part])
-            share_of = np.concatenate([p[1] / p[1].sum() for p in part]).astype(np.float32)
-            starts = np.cumsum([0, *(len(p[0]) for p in part[:-1])])
-            hidden = np.add.reduceat(vectors[ids] * share_of[:, None], starts)
-            logits = hidden @ out + bias
-            likely = np.exp(logits - logits.max(1, keepdims=True))
-            error = wanted[order[at : at + BATCH]] - likely / likely.sum(1, keepdims=True)
-            back = error @ out.T
-            out += rate * hidden.T @ error
-            bias += rate * error.mean(0)
-            moved = np.repeat(back, [len(p[0]) for p in part], axis=0) * share_of[:, None]
-            sort = np.argsort(ids, kind="stable")
-            which = np.flatnonzero(np.concatenate(([True], np.diff(ids[sort]) > 0)))
-            vectors[ids[sort][which]] += rate * SCALE * np.add.reduceat(moved[sort], which)
+            ids, shares = docs[i]
+            mine = vectors[ids]
+            mean = shares @ mine
+            logits = mean @ out + bias
+            likely = np.exp(logits - logits.max())
+            error = rate * (wanted[i] - likely / likely.sum())
+            vectors[ids] = mine + shares[:, None] * (out @ error)
+            out += np.outer(mean, error)
+            bias += error
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            ids, counts = [], []
-            for text in part.column(0).to_pylist():
-                words = WORD.findall(text or "")
-                found, n = np.unique(np.append(features(words)[0], np.full(pairs_of_one(words), BUCKETS)), return_counts=True)
-                ids.append(found.astype(np.int32).tobytes())
-                counts.append(n.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["label", "ids", "counts"])
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from training: crc32 of the id as text, modulo 5, is 0. A null id has the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """The model for labels (doc_id, quality) of documents that aren't held out; at most `rows` labels are used."""
-    lean_batches(docs.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, size: int = TRAINING_BYTES) -> Model:
+    """The model for labels (doc_id, quality) of documents that aren't held out.
+
+    At most `rows` labels are used, and of their documents, in the same order, those up to `size` bytes of text.
+    """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.select(F.col("doc_id").alias("__id"), (F.col("quality") > 0).cast("int").alias("label"))
-    # A label may come twice; the order leaves no choice between rows that differ.
+    # A label may come twice, and an id: the order leaves no choice between rows that differ.
     chosen = chosen.distinct().orderBy(F.xxhash64("__id"), "__id", "label").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    bags = sample.select("text", "label").mapInArrow(_bags, "label int, ids binary, counts binary")
-    got = sorted((r["label"], bytes(r["ids"]), bytes(r["counts"])) for r in bags.collect())
-    return trained([(np.frombuffer(i, np.int32), np.frombuffer(c, np.float32)) for _, i, c in got], np.array([g[0] for g in got], np.int64))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAINING_LONGEST)
+    sample = sample.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "label", "text", F.octet_length("text").alias("__size"))
+    order = Window.orderBy(F.xxhash64("__id"), "__id", "label", "text").rowsBetween(Window.unboundedPreceding, 0)
+    # The limit before the window bounds what its one task sorts, if an id has very many documents.
+    first = sample.orderBy(F.xxhash64("__id"), "__id", "label", "text").limit(rows)
+    got = first.withColumn("__sum", F.sum("__size").over(order)).where(F.col("__sum") <= size).select("label", "text").collect()
+    return trained([bag(r["text"]) for r in got], np.array([r["label"] for r in got], np.int64))
 
 
 class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+    """Scores texts; of each word it keeps its hash, its weight, and the sum and number of its n-grams' weights."""
 
-    def score(self, texts: list[str]) -> list[float]:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros((0, 3))
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
+            whole, grams, of = features(part)
+            more = np.stack([self.model.weights[bucket(whole)].astype(float), np.bincount(of, self.model.weights[grams], len(part)), np.bincount(of, minlength=len(part))], axis=1)
+            self.hashes, self.numbers = np.concatenate([self.hashes, whole]), np.concatenate([self.numbers, more])
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
+            self.chars += sum(map(len, part))
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > CACHED_WORDS or self.chars > CACHED_CHARS:
+            self.forget()
         split = [WORD.findall(t) for t in texts]
-        fresh = [*dict.fromkeys(w for ws in split for w in ws if w not in self.known)]
-        new: dict[str, tuple[float, int]] = {}
-        for at in range(0, len(fresh), 5_000):
-            part = fresh[at : at + 5_000]
-            ids, of = features(part)
-            totals = np.bincount(of, self.model.weights[ids], len(part)).tolist()
-            new.update(zip(part, zip(totals, np.bincount(of, minlength=len(part)).tolist(), strict=True), strict=True))
-        self.known.update((w, x) for w, x in new.items() if len(w) <= CACHED_LENGTH)
-        long = {w: x for w, x in new.items() if len(w) > CACHED_LENGTH}
-        known, pair, out = self.known, float(self.model.weights[BUCKETS]), []
-        for ws in split:
-            found = [known[w] if w in known else long[w] for w in ws]
-            twice = pairs_of_one(ws)
-            out.append(self.model.score(sum([x[0] for x in found]) + twice * pair, sum([x[1] for x in found]) + twice))
-        return out
+        self.learn([*dict.fromkeys(w for ws in split for w in ws if w not in self.known)])
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
+        of = np.repeat(np.arange(len(split)), sizes)
+        sums = [np.bincount(of, column, len(split)) for column in self.numbers[words].T]
+        hashes, together = self.hashes[words], of[1:] == of[:-1]
+        pairs = np.bincount(of[1:][together], self.model.weights[pair_buckets(hashes[:-1], hashes[1:])[together]], len(split))
+        total = sums[0] / np.maximum(1, sizes) + sums[1] / np.maximum(1, sums[2]) + pairs / np.maximum(1, sizes - 1)
+        return self.model.score(total / KINDS)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -189,7 +201,11 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The op3 contract. Ids may be null or repeated: every row is scored by its own text."""
+    """The op3 contract. Ids may be null or repeated: every row is scored by its own text.
+
+    A null or wordless text has the score of the bias alone; no usable labels give 0.5 for all; an empty table gives an
+    empty one; further columns, whatever their names, play no part.
+    """
     out = scored(docs.select("doc_id", "text"), fit(docs, labels)).drop("text")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
