@@ -197,14 +197,23 @@ def test_training_sample_is_bounded(spark, monkeypatch):
 
 def test_classifier_on_held_out_labels(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
-    out = subword_classifier.digest(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    out = subword_classifier.digest(docs, labels).join(labels, "doc_id").collect()
     good = [r.score for r in out if r.quality == 1]
     assert np.mean([r.predicted for r in out if r.quality == 1]) > 0.97
-    assert np.mean([s > r.score for r in out if r.quality == 0 for s in good]) > 0.9
+    assert np.mean([s > r.score for r in out if r.quality == 0 for s in good]) > 0.8
     again = subword_classifier.digest(docs.repartition(7), labels).collect()
     assert {r.doc_id: round(r.score, 9) for r in again} == {r.doc_id: round(r.score, 9) for r in subword_classifier.digest(docs, labels).collect()}
 
 
+def test_classifier_on_more_held_out_labels(spark, data):
+    data = data.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    out = subword_classifier.digest(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    good = [r.score for r in out if r.quality == 1]
+    assert np.mean([s >= 0.3 for s in good]) > 0.97
+    assert np.mean([s > r.score for r in out if r.quality == 0 for s in good]) > 0.95
+
+
 # ---------------------------------------------------------------- shards, secrets
 
 
