@@ -37,6 +37,9 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 LEAST_UNEQUAL = -(-(100 + SIMILAR) // (100 - SIMILAR))
 #: Rounds with one leader per list before the last one.
 LEADER_ROUNDS = 2
+#: Shingles of buckets with more shingles than this, and than 16 times the usual number, go round the search for
+#: shingles that one group alone lists: no task sorts all that list them.
+HOT_LEVEL, HOT_ABOVE = 8 * 20, 8 * 4
 #: A text is worked on in pieces of at most about so many bytes of many documents, or alone.
 CHUNK_BYTES = 1 << 18
 
@@ -103,19 +106,38 @@ def _sets(coded: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _mapped(docs: DataFrame, of: Callable[[list[np.ndarray]], list[pa.Array]], names: list[str], fields: str) -> DataFrame:
-    """doc_id, and what `of` gives for the sets, 256 rows at a time."""
+def _batches(df: DataFrame, of: Callable[[list], list[pa.Array]], keep: list[str], names: list[str], fields: str) -> DataFrame:
+    """keep, and what `of` gives for the last column, 256 rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = of(shingle_sets([t or "" for t in part.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *of(part.column(part.num_columns - 1).to_pylist())], names=[*keep, *names])
 
-    lean_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
+    lean_batches(df.sparkSession)
+    own = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema.fields[:-1])
+    return df.mapInArrow(run, own + fields)
+
+
+def _signed(xs: list[int]) -> pa.Array:
+    return pa.array(np.array(xs, np.uint64).view(np.int64))
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), set_a and set_b (its hash) and shingles (the sorted hashes, eight bytes each) of every document with an id and a word."""
+
+    def of(texts: list[str]) -> list[pa.Array]:
+        sets = shingle_sets([t or "" for t in texts])
+        hashes = [[int(_mixed(s ^ np.uint64(x)).sum(dtype=np.uint64)) for s in sets] for x in (0x0F0F0F0F, 0x3C3C3C3C)]
+        return [pa.array([len(s) for s in sets], pa.int64()), *map(_signed, hashes), pa.array([s.tobytes() for s in sets], pa.binary())]
+
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    return _batches(docs, of, ["doc_id"], ["n", "set_a", "set_b", "shingles"], "n long, set_a long, set_b long, shingles binary").where("n > 0")
+
+
+def _numbers(binary: bytes) -> np.ndarray:
+    return np.frombuffer(binary, np.uint64)
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -124,7 +146,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
+def frequency_levels(sets: DataFrame) -> np.ndarray:
     """How frequent the shingles of each bucket of the sketch are in all documents, as a level of 0 to 255.
 
     Each task counts into a fixed number of buckets, so neither what is shuffled per task nor what
@@ -136,7 +158,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = shingle_sets([t or "" for t in batch.slice(at, 256).column(0).to_pylist()])
+                sets = map(_numbers, batch.slice(at, 256).column(0).to_pylist())
                 total += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=buckets)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([total[i * block : (i + 1) * block].astype(np.int32).tobytes() for i in range(SKETCH_BLOCKS)], pa.binary())], names=["block", "counts"])
@@ -150,8 +172,8 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
         for b, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "counts"])
 
-    lean_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(count, "block int, counts binary")
+    lean_batches(sets.sparkSession)
+    counts = sets.select("shingles").mapInArrow(count, "block int, counts binary")
     summed = counts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()
     total = np.zeros(buckets, np.int64)
     for row in summed:
@@ -159,21 +181,23 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), set_a and set_b (its hash), group (the prefix's), prefix, of every document with a word."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels)
+def prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
+    """doc_id, n, set_a, set_b, group (the prefix's hash), prefix, and hot (the part of it in hot buckets) of every set."""
+    sent = sets.sparkSession.sparkContext.broadcast(levels)
+    hot_from = max(HOT_LEVEL, float(levels.mean()) + HOT_ABOVE)
 
-    def of(sets: list[np.ndarray]) -> list[pa.Array]:
-        level, first, groups, hashes = sent.value, [], [], []
-        for s in sets:
-            order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-            first.append(s[order[: len(s) + (len(s) * SIMILAR) // -100 + 1]] if len(s) else s)
-            groups.append(int(np.sort(_mixed(first[-1] ^ np.uint64(0xA5A5A5A5))).sum(dtype=np.uint64)))
-            hashes.append((int(_mixed(s ^ np.uint64(0x0F0F0F0F)).sum(dtype=np.uint64)), int(_mixed(s ^ np.uint64(0x3C3C3C3C)).sum(dtype=np.uint64))))
-        signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-        return [pa.array([len(s) for s in sets], pa.int64()), signed([h[0] for h in hashes]), signed([h[1] for h in hashes]), signed(groups), _lists(first)]
+    def of(shingles: list[bytes]) -> list[pa.Array]:
+        level, first, hot, groups = sent.value, [], [], []
+        for s in map(_numbers, shingles):
+            of_each = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            taken = np.argsort(of_each, kind="stable")[: len(s) + (len(s) * SIMILAR) // -100 + 1]
+            is_hot = of_each[taken] >= hot_from
+            first.append(s[taken[~is_hot]])
+            hot.append(s[taken[is_hot]])
+            groups.append(int(np.sort(_mixed(s[taken] ^ np.uint64(0xA5A5A5A5))).sum(dtype=np.uint64)))
+        return [_signed(groups), _lists(first), _lists(hot)]
 
-    return _mapped(docs, of, ["n", "set_a", "set_b", "group", "prefix"], "n long, set_a long, set_b long, group long, prefix array<long>")
+    return _batches(sets.select("doc_id", "n", "set_a", "set_b", "shingles"), of, ["doc_id", "n", "set_a", "set_b"], ["group", "prefix", "hot"], "group long, prefix array<long>, hot array<long>")
 
 
 # ---------------------------------------------------------------- components
@@ -201,20 +225,26 @@ def components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, decided on the whole sets.
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, decided on the whole sets."""
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (map(_numbers, batch.column(i).to_pylist()) for i in (2, 3))
+            found = []
+            for s, t in zip(x, y, strict=True):
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                found.append(100 * shared >= SIMILAR * (len(s) + len(t) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    Only documents that are in a pair are read into sets again.
-    """
     pairs = written(pairs, "op5-pairs")
     wanted = bounded(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), 500_000)
-    sets = _mapped(docs.join(wanted, "doc_id", "left_semi"), lambda x: [_lists(x)], ["shingles"], "shingles array<long>")
-    sets = written(sets, "op5-sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("__x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("__x", "__y"))
-    return written(both.where(100 * shared >= SIMILAR * (F.size("__x") + F.size("__y") - shared)).select("a", "b"), "op5-links")
+    some = sets.select("doc_id", "shingles").join(wanted, "doc_id", "left_semi")
+    left = some.select(F.col("doc_id").alias("a"), F.col("shingles").alias("__x"))
+    right = some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "__x", "__y")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return written(both.mapInArrow(similar, f"a {kind}, b {kind}"), "op5-links")
 
 
 def _alike_in_size(n: str, m: str) -> Column:
@@ -226,16 +256,17 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     node is the smallest id with the same set. Documents without words or id aren't among them.
     """
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    cut = written(prefixes(docs, frequency_levels(docs)), "op5-prefixes")
-    known = cut.drop("prefix").where("n > 0")
+    # The sets are made of the texts once; whatever looks at sets reads this table.
+    sets = written(sets_of(docs), "op5-sets")
+    cut = written(prefixes(sets, frequency_levels(sets)), "op5-prefixes")
+    known = cut.drop("prefix", "hot")
     nodes = written(known.groupBy("n", "set_a", "set_b", "group").agg(F.min("doc_id").alias("node")), "op5-nodes")
     # One listing per group, whatever the number of its members, under the smallest member's id.
-    groups = cut.where("n > 0").groupBy("n", "group").agg(F.min("doc_id").alias("leader"), F.first("prefix").alias("prefix"))
-    listed = groups.select("n", "group", "leader", F.explode("prefix").alias("shingle"))
+    groups = cut.groupBy("n", "group").agg(F.min("doc_id").alias("leader"), F.first(F.struct("prefix", "hot")).alias("listed"))
+    listed = lambda part: groups.select("n", "group", "leader", F.explode(f"listed.{part}").alias("shingle"))
     # A shingle that one group alone lists makes no pair; its row goes as soon as its neighbours are seen.
-    ordered = listed.repartition("shingle").sortWithinPartitions("shingle")
-    lists = written(_shared(ordered), "op5-lists")
+    ordered = listed("prefix").repartition("shingle").sortWithinPartitions("shingle")
+    lists = written(_shared(ordered).unionByName(listed("hot")), "op5-lists")
     members = nodes.join(nodes.groupBy("n", "group").agg(F.min("node").alias("leader")), ["n", "group"])
     inner = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
@@ -245,33 +276,50 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = members.join(crowded, ["n", "group"], "left_semi").select(F.xxhash64("n", "group", F.lit("group")).alias("shingle"), "node", "n", F.lit(True).alias("own"))
     entries = written(entries.unionByName(own), "op5-entries")
 
-    links = inner.limit(0)
+    links = written(inner.limit(0), "op5-no-links")
+    labels = nodes.select("node", F.col("node").alias("component"))
     tried: list[DataFrame] = []
-    labels: DataFrame | None = None
-    for round_no in range(LEADER_ROUNDS + 1):
-        now = entries.withColumn("component", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sides = now.groupBy("shingle").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), F.min(F.struct((F.col("node") if round_no == 0 else F.xxhash64("node", F.lit(round_no))).alias("rank"), "node", "n", "component")).alias("__lead"))
-        open_ = now.join(sides.where("__low != __high"), "shingle")
-        if round_no < LEADER_ROUNDS:
-            lead = open_.where(F.col("component") != F.col("__lead.component")).where(_alike_in_size("n", "__lead.n"))
-            offered = lead.select(F.least("node", "__lead.node").alias("a"), F.greatest("node", "__lead.node").alias("b"), F.least("n", "__lead.n").alias("m"), "own")
-            # The round may pass over pairs: the last one doesn't. Similar sets share much of their prefixes.
-            pairs = offered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.max("own").alias("own")).where("own OR 20 * c >= m OR m < 40").select("a", "b")
-        else:
-            pairs = _all_pairs(written(open_.select("shingle", "node", "n", "own", "component"), "op5-open"), docs)
+    for round_no in range(LEADER_ROUNDS):
+        open_ = _open(entries, labels if round_no else None, F.col("node") if round_no == 0 else F.xxhash64("node", F.lit(round_no)))
+        lead = open_.where(F.col("component") != F.col("__lead.component")).where(_alike_in_size("n", "__lead.n"))
+        offered = lead.select(F.least("node", "__lead.node").alias("a"), F.greatest("node", "__lead.node").alias("b"), F.least("n", "__lead.n").alias("m"), "own")
+        # The round may pass over pairs: the last one doesn't. Similar sets share much of their prefixes.
+        pairs = offered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.max("own").alias("own")).where("own OR 20 * c >= m OR m < 40").select("a", "b")
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs, "op5-offered")
         tried.append(pairs)
-        if pairs.isEmpty():
-            continue
-        links = written(links.unionByName(verified(pairs, docs)), "op5-all-links")
-        labels = components(links)
-    if labels is None:
-        labels = nodes.select("node", F.col("node").alias("component")).limit(0)
+        links = written(links.unionByName(verified(pairs, sets)), "op5-all-links")
+        # Between the rounds a step along the links will do; components are made when the leaders are through.
+        labels = written(_one_step(links), "op5-steps") if round_no < LEADER_ROUNDS - 1 else components(links)
+    open_ = _open(entries, labels if tried else None, F.col("node"))
+    pairs = _all_pairs(written(open_.select("shingle", "node", "n", "own", "component"), "op5-open"), sets)
+    for t in tried:
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    # What is left joins components: their links are few, whatever the components' sizes.
+    more = verified(pairs, sets)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b"))
+    joined = components(ends.where("a <> b")).select(F.col("node").alias("__node"), F.col("component").alias("__to"))
+    every = nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    labels = every.join(joined, F.col("component") == F.col("__node"), "left").select("node", F.coalesce("__to", "component").alias("component"))
     return known.join(nodes.drop("group"), ["n", "set_a", "set_b"]), labels
 
 
+def _open(entries: DataFrame, labels: DataFrame | None, rank: Column) -> DataFrame:
+    """entries with `component` and __lead, the member of least rank, of the lists whose members aren't in one component."""
+    now = entries.withColumn("component", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sides = now.groupBy("shingle").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("__lead"))
+    return now.join(sides.where("__low != __high"), "shingle")
+
+
+def _one_step(links: DataFrame) -> DataFrame:
+    """node and component: a smaller node that it is joined with, by one link or two; nodes that have none aren't there."""
+    near = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    next_ = near.select(F.col("node").alias("__at"), F.col("component").alias("__to"))
+    return near.join(next_, F.col("component") == F.col("__at"), "left").select("node", F.coalesce("__to", "component").alias("component"))
+
+
 def _shared(ordered: DataFrame) -> DataFrame:
     """Of rows dealt and sorted by shingle, those whose shingle comes more than once."""
     w = Window.partitionBy("shingle").orderBy("shingle")
@@ -279,14 +327,15 @@ def _shared(ordered: DataFrame) -> DataFrame:
     return around.where(F.col("__before").isNotNull() | F.col("__after").isNotNull()).drop("__before", "__after")
 
 
-def _unshared(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _unshared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and alone: how many of its shingles no other of these nodes has, of those that have some."""
-    sets = _mapped(docs.join(bounded(nodes.select(F.col("node").alias("doc_id")), 500_000), "doc_id", "left_semi"), lambda x: [_lists(x)], ["shingles"], "shingles array<long>")
-    counts = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("__last"))
+    some = sets.join(bounded(nodes.select(F.col("node").alias("doc_id")), 500_000), "doc_id", "left_semi").select("doc_id", "shingles")
+    lists = _batches(some, lambda x: [_lists([*map(_numbers, x)])], ["doc_id"], ["shingles"], "shingles array<long>")
+    counts = lists.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("__last"))
     return counts.where(F.col("node") == F.col("__last")).groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def _all_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
+def _all_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of nodes that share a list, lie in different components and can be similar.
 
     With c shingles shared within both prefixes, at most c plus what follows one of the prefixes is
@@ -302,7 +351,7 @@ def _all_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
     by_node = Window.partitionBy("node")
     sized = entries.join(sizes, "shingle").withColumn("long", F.max("size").over(by_node) > LONG_LIST).withColumn("all", F.count(F.lit(1)).over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("size", "shingle")))
     sized = written(sized, "op5-sized")
-    alone = written(_unshared(docs, sized.where("long").select("node").distinct()), "op5-alone")
+    alone = written(_unshared(sets, sized.where("long").select("node").distinct()), "op5-alone")
     ranked = sized.join(alone, "node", "left").withColumn("most_shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     # Sets of n and 0.9 n or more share 57 n / 70 or more if they are similar.
     hopeless = (F.col("size") > LONG_LIST) & (70 * F.col("most_shared") < 57 * F.col("n"))
@@ -321,11 +370,17 @@ def _all_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _met(ranked: DataFrame) -> DataFrame:
-    """x_node, x_n, y_node, y_n, own (met in their group's own list) of the pairs that meet in some list and pass all bounds; a pair may meet more than once."""
+    """x_node, x_n, y_node, y_n, own (met in their group's own list) of the pairs that meet in some list and pass all bounds; a pair may meet more than once.
+
+    A list of more than BLOCK members is cut into parts, and each pair of parts meets apart, so that no task has a whole long list on both sides.
+    """
     columns = ("node", "n", "own", "component", "all", "near", "class", "long", "most_shared", "lists")
     ups = lambda *x: F.array(*map(F.lit, x))
-    x = ranked.where(F.col("component") != F.col("most")).select("shingle", *[F.col(c).alias(f"x_{c}") for c in columns], F.explode(F.when(F.col("own"), ups(0)).when(F.col("near"), ups(*range(-3, 4))).otherwise(ups(-3, -2, -1, 1, 2, 3))).alias("up")).withColumn("class", F.col("x_class") + F.col("up"))
-    y = ranked.select("shingle", "most", *[F.col(c).alias(f"y_{c}") for c in columns if c != "class"], "class")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine, others = F.pmod(F.xxhash64("node"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
+    x = ranked.where(F.col("component") != F.col("most")).select("shingle", *[F.col(c).alias(f"x_{c}") for c in columns], mine.alias("__i"), others.alias("__js"), F.explode(F.when(F.col("own"), ups(0)).when(F.col("near"), ups(*range(-3, 4))).otherwise(ups(-3, -2, -1, 1, 2, 3))).alias("up")).withColumn("class", F.col("x_class") + F.col("up"))
+    x = x.withColumn("__j", F.explode("__js")).drop("__js")
+    y = ranked.select("shingle", "most", *[F.col(c).alias(f"y_{c}") for c in columns if c != "class"], "class", mine.alias("__j"), F.explode(others).alias("__i"))
     alike = 10 * F.least("x_n", "y_n") >= 9 * F.greatest("x_n", "y_n")
     # A pair of which neither is in the largest component would meet twice.
     met = ((F.col("y_component") == F.col("most")) | (F.col("x_node") < F.col("y_node"))) & (F.col("x_component") != F.col("y_component")) & _alike_in_size("x_n", "y_n")
@@ -333,13 +388,15 @@ def _met(ranked: DataFrame) -> DataFrame:
     met = met & (~alike | (F.col("x_near") & F.col("y_near"))) & (own | _can_be_similar(F.least("x_all", "y_all"), F.col("x_n"), F.col("y_n")))
     met = met & (~(F.col("x_long") & F.col("y_long")) | ((100 + SIMILAR) * F.least("x_most_shared", "y_most_shared") >= SIMILAR * (F.col("x_n") + F.col("y_n"))))
     met = met & F.when(own | F.col("x_lists").isNull() | F.col("y_lists").isNull(), True).otherwise(_can_be_similar(F.size(F.array_intersect("x_lists", "y_lists")), F.col("x_n"), F.col("y_n")))
-    return x.join(y, ["shingle", "class"]).where(met).select("x_node", "x_n", "y_node", "y_n", own.alias("own"))
+    return x.join(y, ["shingle", "class", "__i", "__j"]).where(met).select("x_node", "x_n", "y_node", "y_n", own.alias("own"))
 
 
 #: Sizes of one class differ by a tenth at most.
 CLASS = float(np.log(10 / 9))
 #: Lists of more members than this are long: pairing them costs more than reading their members again.
 LONG_LIST = 32
+#: Lists of more members than this meet part by part.
+BLOCK = 4_096
 #: A node of more lists than this doesn't bring them along; its pairs are judged later.
 MOST_BROUGHT = 512
 

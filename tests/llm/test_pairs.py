@@ -53,8 +53,11 @@ def test_components(spark, monkeypatch):
 
 
 def test_last_round_alone(spark, monkeypatch):
-    """With no leader rounds, all links are found by the last."""
+    """With no leader rounds, all links are found by the last; lists meet in parts, and all shingles count as frequent."""
     monkeypatch.setattr(jaccard_groups, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_groups, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_groups, "HOT_LEVEL", -1)
+    monkeypatch.setattr(jaccard_groups, "HOT_ABOVE", -300)
     monkeypatch.setattr(jaccard_groups, "LONG_LIST", 4)
     rows = corpus(3)
     out = jaccard_groups.digest(spark.createDataFrame(rows, "doc_id long, text string"))
