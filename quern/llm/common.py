@@ -31,10 +31,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: the lineage is cut, and a lost executor costs nothing."""
+#: Tables whose number of rows has a known bound are written by one task for so many, and not by one for each shuffle partition.
+ROWS_PER_TASK = 20_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: the lineage is cut, and a lost executor costs nothing. rows: a bound, if one is known."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

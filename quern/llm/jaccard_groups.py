@@ -203,20 +203,20 @@ def prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest reachable node) of all nodes in edges (a, b).
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """node and component (its smallest reachable node) of all nodes in edges (a, b), of which there are `rows` at most.
 
     Every node takes its neighbours' smallest label, then its label's label, until nothing changes;
     each pass is a table, so lineage and memory stay flat.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "op5-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "op5-labels")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "op5-edges", 2 * rows)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "op5-labels", 2 * rows)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         hooked = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "near").alias("new"))
         far = labels.select(F.col("node").alias("__at"), F.col("component").alias("__to"))
         jumped = hooked.join(far, F.col("new") == F.col("__at")).select("node", F.least("new", "__to").alias("component"), (F.least("new", "__to") != F.col("component")).alias("moved"))
-        found = written(jumped, "op5-labels")
+        found = written(jumped, "op5-labels", 2 * rows)
         labels = found.select("node", "component")
         if found.where("moved").isEmpty():
             return labels
@@ -226,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, decided on the whole sets."""
+    """The pairs (a, b), a table, whose sets are similar, decided on the whole sets."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,14 +237,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found.append(100 * shared >= SIMILAR * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    pairs = written(pairs, "op5-pairs")
     wanted = bounded(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), 500_000)
     some = sets.select("doc_id", "shingles").join(wanted, "doc_id", "left_semi")
     left = some.select(F.col("doc_id").alias("a"), F.col("shingles").alias("__x"))
     right = some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "__x", "__y")
     kind = pairs.schema["a"].dataType.simpleString()
-    return written(both.mapInArrow(similar, f"a {kind}, b {kind}"), "op5-links")
+    return both.mapInArrow(similar, f"a {kind}, b {kind}")
 
 
 def _alike_in_size(n: str, m: str) -> Column:
@@ -260,7 +259,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = written(sets_of(docs), "op5-sets")
     cut = written(prefixes(sets, frequency_levels(sets)), "op5-prefixes")
     known = cut.drop("prefix", "hot")
-    nodes = written(known.groupBy("n", "set_a", "set_b", "group").agg(F.min("doc_id").alias("node")), "op5-nodes")
+    nodes = written(known.groupBy("n", "set_a", "set_b", "group").agg(F.min("doc_id").alias("node")), "op5-nodes", known.count())
     # One listing per group, whatever the number of its members, under the smallest member's id.
     groups = cut.groupBy("n", "group").agg(F.min("doc_id").alias("leader"), F.first(F.struct("prefix", "hot")).alias("listed"))
     listed = lambda part: groups.select("n", "group", "leader", F.explode(f"listed.{part}").alias("shingle"))
@@ -276,34 +275,43 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = members.join(crowded, ["n", "group"], "left_semi").select(F.xxhash64("n", "group", F.lit("group")).alias("shingle"), "node", "n", F.lit(True).alias("own"))
     entries = written(entries.unionByName(own), "op5-entries")
 
-    links = written(inner.limit(0), "op5-no-links")
-    labels = nodes.select("node", F.col("node").alias("component"))
+    most, n_links = entries.count(), 0
+    links = inner.limit(0)
+    labels: DataFrame | None = None
     tried: list[DataFrame] = []
     for round_no in range(LEADER_ROUNDS):
-        open_ = _open(entries, labels if round_no else None, F.col("node") if round_no == 0 else F.xxhash64("node", F.lit(round_no)))
+        open_ = _open(entries, labels, F.col("node") if round_no == 0 else F.xxhash64("node", F.lit(round_no)))
         lead = open_.where(F.col("component") != F.col("__lead.component")).where(_alike_in_size("n", "__lead.n"))
         offered = lead.select(F.least("node", "__lead.node").alias("a"), F.greatest("node", "__lead.node").alias("b"), F.least("n", "__lead.n").alias("m"), "own")
         # The round may pass over pairs: the last one doesn't. Similar sets share much of their prefixes.
         pairs = offered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.max("own").alias("own")).where("own OR 20 * c >= m OR m < 40").select("a", "b")
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = written(pairs, "op5-offered")
-        tried.append(pairs)
-        links = written(links.unionByName(verified(pairs, sets)), "op5-all-links")
-        # Between the rounds a step along the links will do; components are made when the leaders are through.
-        labels = written(_one_step(links), "op5-steps") if round_no < LEADER_ROUNDS - 1 else components(links)
-    open_ = _open(entries, labels if tried else None, F.col("node"))
-    pairs = _all_pairs(written(open_.select("shingle", "node", "n", "own", "component"), "op5-open"), sets)
-    for t in tried:
-        pairs = pairs.join(t, ["a", "b"], "left_anti")
-    # What is left joins components: their links are few, whatever the components' sizes.
-    more = verified(pairs, sets)
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))
-    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b"))
-    joined = components(ends.where("a <> b")).select(F.col("node").alias("__node"), F.col("component").alias("__to"))
-    every = nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    labels = every.join(joined, F.col("component") == F.col("__node"), "left").select("node", F.coalesce("__to", "component").alias("component"))
-    return known.join(nodes.drop("group"), ["n", "set_a", "set_b"]), labels
+        pairs = written(pairs, "op5-offered", most)
+        if n := pairs.count():
+            tried.append(pairs)
+            links, n_links = links.unionByName(written(verified(pairs, sets), "op5-links", n)), n_links + n
+            # Between the rounds a step along the links will do; components are made when the leaders are through.
+            labels = written(_one_step(links), "op5-steps", n_links)
+    if n_links:
+        labels = components(links, n_links)
+    open_ = written(_open(entries, labels, F.col("node")).select("shingle", "node", "n", "own", "component"), "op5-open", most)
+    every = nodes.select("node").distinct()
+    every = every.withColumn("component", F.col("node")) if labels is None else every.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    if still := open_.count():
+        pairs = _all_pairs(open_, still, sets)
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = written(pairs, "op5-pairs")
+        # What is left joins components: their links are few, whatever the components' sizes.
+        ends = verified(pairs, sets)
+        for end in ("a", "b") if labels is not None else ():
+            of = labels.select(F.col("node").alias("__node"), F.col("component").alias("__of"))
+            ends = ends.join(of, F.col(end) == F.col("__node"), "left").withColumn(end, F.coalesce("__of", end)).select("a", "b")
+        if n := pairs.count():
+            joined = components(ends.where("a <> b").distinct(), n).select(F.col("node").alias("__node"), F.col("component").alias("__to"))
+            every = every.join(joined, F.col("component") == F.col("__node"), "left").select("node", F.coalesce("__to", "component").alias("component"))
+    return known.join(nodes.drop("group"), ["n", "set_a", "set_b"]), every
 
 
 def _open(entries: DataFrame, labels: DataFrame | None, rank: Column) -> DataFrame:
@@ -335,7 +343,7 @@ def _unshared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return counts.where(F.col("node") == F.col("__last")).groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def _all_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def _all_pairs(entries: DataFrame, rows: int, sets: DataFrame) -> DataFrame:
     """All pairs of nodes that share a list, lie in different components and can be similar.
 
     With c shingles shared within both prefixes, at most c plus what follows one of the prefixes is
@@ -350,8 +358,8 @@ def _all_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = members.groupBy("shingle").agg(F.sum("__n").alias("size"), F.max_by("component", F.struct("__n", "component")).alias("most"))
     by_node = Window.partitionBy("node")
     sized = entries.join(sizes, "shingle").withColumn("long", F.max("size").over(by_node) > LONG_LIST).withColumn("all", F.count(F.lit(1)).over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("size", "shingle")))
-    sized = written(sized, "op5-sized")
-    alone = written(_unshared(sets, sized.where("long").select("node").distinct()), "op5-alone")
+    sized = written(sized, "op5-sized", rows)
+    alone = written(_unshared(sets, sized.where("long").select("node").distinct()), "op5-alone", rows)
     ranked = sized.join(alone, "node", "left").withColumn("most_shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     # Sets of n and 0.9 n or more share 57 n / 70 or more if they are similar.
     hopeless = (F.col("size") > LONG_LIST) & (70 * F.col("most_shared") < 57 * F.col("n"))
