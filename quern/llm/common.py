@@ -70,6 +70,12 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def broadcast_if(df: DataFrame, most: int, weight: Column) -> DataFrame:
+    """df with a broadcast hint if the sum of weight, such as the length of an array, and the number of rows are checked to be `most` or less."""
+    rows, sum_ = df.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    return F.broadcast(df) if rows <= most and (sum_ or 0) <= most else df
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, rows: int = 1_000_000) -> DataFrame:
     """docs with (left_semi) or without (left_anti) the doc_id in ids; a null id equals a null id."""
     ids = bounded(ids.select(F.col("doc_id").alias("__id")), rows)

@@ -1,9 +1,10 @@
 """Secret scan over an incremental ledger of blobs.
 
 Every version of a text is addressed by its SHA-256. The ledger, a table, holds one row per blob and
-scan: the rules (with version) that were applied and the findings. A run scans only pairs of blob
+scan: the rule versions that were applied, and the findings of each. A run scans only pairs of blob
 and rule version that the ledger lacks, adds them, and joins findings back to every path. Two paths
-with the same text cost one scan; a new rule version rescans blobs for that rule alone.
+with the same text cost one scan; a new rule version rescans blobs for that rule alone, and what
+older versions of the rule have found is no longer reported, though it stays in the ledger.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_dir, table
+from quern.llm.common import broadcast_if, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,9 @@ MORE_RULES = (
     Rule("json_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
-FINDING = "array<struct<kind:string,start:bigint,end:bigint>>"
+FINDING = "array<struct<rule:string,start:bigint,end:bigint>>"
+#: Findings are broadcast to the paths up to so many spans and blobs, and joined by a shuffle beyond that.
+BROADCAST_SPANS = 200_000
 
 
 def addressed(versions: DataFrame, paths: list[str]) -> DataFrame:
@@ -62,8 +65,8 @@ def _matches(rule: Rule, pending: Column) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x) >= rule.least) if rule.group else F.transform(found, lambda x: F.length(x) >= rule.least)
     gaps, lengths = F.transform(F.split(text, rule.pattern), F.length), F.transform(found, F.length)
-    both = F.transform(lengths, lambda n, i: F.struct(F.lit(rule.kind).alias("kind"), i.alias("no"), F.get(gaps, i).alias("gap"), n.alias("n"), F.get(kept, i).alias("kept")))
-    return F.when(F.array_contains(pending, rule.key) & text.rlike(rule.pattern), both).otherwise(F.array().cast("array<struct<kind:string,no:int,gap:int,n:int,kept:boolean>>"))
+    both = F.transform(lengths, lambda n, i: F.struct(F.lit(rule.key).alias("rule"), i.alias("no"), F.get(gaps, i).alias("gap"), n.alias("n"), F.get(kept, i).alias("kept")))
+    return F.when(F.array_contains(pending, rule.key) & text.rlike(rule.pattern), both).otherwise(F.array().cast("array<struct<rule:string,no:int,gap:int,n:int,kept:boolean>>"))
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -74,14 +77,18 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     every = F.concat(*[_matches(r, F.col("pending")) for r in rules])
     rows = blobs.select("blob", F.col("pending").alias("rules"), F.explode_outer(every).alias("m"))
-    before = Window.partitionBy("blob", "m.kind").orderBy("m.no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("blob", "m.rule").orderBy("m.no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum((F.col("m.gap") + F.col("m.n")).cast("long")).over(before))
-    one = F.when(F.col("m.kept"), F.struct(F.col("m.kind").alias("kind"), (F.col("end") - F.col("m.n")).alias("start"), F.col("end").alias("end")))
+    one = F.when(F.col("m.kept"), F.struct(F.col("m.rule").alias("rule"), (F.col("end") - F.col("m.n")).alias("start"), F.col("end").alias("end")))
     return rows.groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(one).alias("findings"))
 
 
 class Ledger:
-    """The table of scans in one folder; `gen=` folders are only ever added."""
+    """The table of scans in one folder. Rows are only ever added.
+
+    A run that dies adds nothing, as its files count only once they are all there. Two runs at the same time, or a run
+    that is repeated, may add the same scan twice; what is read is the same, as findings are pooled by blob and rule version.
+    """
 
     SCHEMA = f"blob string, rules array<string>, findings {FINDING}"
 
@@ -109,22 +116,37 @@ class Ledger:
         found.write.mode("append").parquet(self.path)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """blob, findings under the given rules, for blobs that have some."""
-        known = [r.kind for r in rules]
-        rows = self.read().where(F.size("findings") > 0)
-        return rows.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")).withColumn("findings", F.filter("findings", lambda x: x["kind"].isin(known)))
+        """blob, findings (kind, start, end) under the newest of the given versions of each kind, for blobs that have some."""
+        wanted = [r.key for r in newest(rules)]
+        found = F.filter("findings", lambda x: x["rule"].isin(wanted))
+        rows = self.read().select("blob", found.alias("findings")).where(F.size("findings") > 0)
+        pooled = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
+        return pooled.select("blob", F.transform("findings", lambda x: F.struct(F.substring_index(x["rule"], "@", 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings"))
+
+
+def newest(rules: tuple[Rule, ...]) -> list[Rule]:
+    """The rules without those of which there is a later version."""
+    last = {r.kind: max(x.version for x in rules if x.kind == r.kind) for r in rules}
+    return [r for r in dict.fromkeys(rules) if r.version == last[r.kind]]
 
 
 def joined_back(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every path (rows with `blob`) with its findings in order of start, then kind as listed; none: empty."""
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    """Every path (rows with `blob`) with its findings in order of start, then kind as listed; none: empty.
+
+    Blobs without findings, such as that of empty texts, meet nothing; those with some are broadcast if they are few.
+    """
+    order = F.create_map(*[x for i, r in enumerate(newest(rules)) for x in (F.lit(r.kind), F.lit(i))])
     ranked = F.transform("findings", lambda x: F.struct(x["start"].alias("start"), F.element_at(order, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
-    out = paths.join(findings.select("blob", F.sort_array(ranked).alias("findings")), "blob", "left")
+    found = broadcast_if(findings.select("blob", F.sort_array(ranked).alias("findings")), BROADCAST_SPANS, F.size("findings"))
+    out = paths.join(found, "blob", "left")
     return out.withColumn("findings", F.coalesce("findings", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")))
 
 
 def digest(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
-    """The op10 contract. A null id is an id like any other; equal texts share one scan; texts may be empty or null."""
+    """The op10 contract. A null id is an id like any other; equal texts share one scan; texts may be empty or null (no findings).
+
+    Rows that come twice come back twice; an empty table gives an empty one; further columns play no part.
+    """
     ledger = ledger or Ledger(docs.sparkSession, shared_dir(docs.sparkSession, "op10-ledger"))
     ledger.add(docs.select("text"))
     paths = addressed(docs.select("doc_id", "text"), ["doc_id"]).drop("text")

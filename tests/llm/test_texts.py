@@ -268,3 +268,31 @@ def test_ledger_scans_what_is_new(spark, tmp_path, monkeypatch):
     paths = secret_ledger.addressed(first, ["path"])
     out = {r.path: [f.kind for f in r.findings] for r in secret_ledger.joined_back(paths, ledger.findings()).collect()}
     assert out == {"a": [], "b": [], "c": ["hex"]}
+
+
+def test_ledger_follows_rule_versions(spark, tmp_path):
+    """More matches, fewer and none under later versions; repeated runs; several versions of one path."""
+    ledger = secret_ledger.Ledger(spark, f"file://{tmp_path}/ledger")
+    long, short = "ab" * 32, "cd" * 18
+    versions = spark.createDataFrame([("a", 1, long), ("a", 2, short), ("a", 3, "nothing"), ("b", 1, long), ("c", 1, None), ("d", 1, f"{short} token={short}")], "path string, at int, text string")
+
+    def found(rules):
+        ledger.add(versions, rules)
+        paths = secret_ledger.addressed(versions, ["path", "at"])
+        return {(r.path, r.at): [(f.kind, f.start, f.end) for f in r.findings] for r in secret_ledger.joined_back(paths, ledger.findings(rules), rules).collect()}
+
+    hex_ = lambda version, pattern: (secret_ledger.RULES[0], secret_ledger.Rule("hex", version, pattern))
+    one, two, three, four = hex_(1, "[0-9a-f]{40,}"), hex_(2, "[0-9a-f]{32,}"), hex_(3, "[0-9a-f]{60,}"), hex_(4, "[0-9a-f]{100,}")
+    nothing = {("a", 3): [], ("c", 1): []}
+    token = [("assign", 37, 79)]
+    every = nothing | {("a", 1): [("hex", 0, 64)], ("a", 2): [("hex", 0, 36)], ("b", 1): [("hex", 0, 64)], ("d", 1): [("hex", 0, 36), *token, ("hex", 43, 79)]}
+    longest = nothing | {("a", 1): [("hex", 0, 64)], ("a", 2): [], ("b", 1): [("hex", 0, 64)], ("d", 1): token}
+    none = nothing | {("a", 1): [], ("a", 2): [], ("b", 1): [], ("d", 1): token}
+    assert [found(r) for r in (one, two, three, four)] == [longest, every, longest, none]
+    # All versions at once are as the newest; a repeated scan, and one of two runs at a time, change nothing.
+    assert found((*one, *two[1:])) == every
+    ledger.read().write.mode("append").parquet(f"file://{tmp_path}/twice")
+    ledger.read().write.mode("append").parquet(f"file://{tmp_path}/twice")
+    again = secret_ledger.Ledger(spark, f"file://{tmp_path}/twice")
+    said = lambda x: sorted((r.blob, [tuple(f) for f in sorted(r.findings)]) for r in x.findings(two).collect())
+    assert said(again) == said(ledger)
