@@ -15,6 +15,8 @@ from quern.llm.common import table
 SEED, ROUNDS = 20_261, 6
 #: About so many rows are numbered by one task; the number of buckets is held to these bounds.
 ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 64, 8_192
+#: Rows that are alike in all keys are made again from their number, at most so many at a time.
+COPIES = 10_000
 
 
 def halves(n: int) -> tuple[int, int]:
@@ -92,14 +94,18 @@ def numbered(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     alike = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
     alike = alike.withColumn("__bucket", F.pmod(_number(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])), F.lit(buckets)))
     # At most MOST_BUCKETS rows, whatever the input.
-    sums = alike.groupBy("__bucket").agg(F.sum("__copies").alias("__n"))
-    w = Window.orderBy("__bucket")
-    sums = sums.select("__bucket", (F.sum("__n").over(w) - F.col("__n")).alias("__base"))
+    sums = sorted(tuple(r) for r in alike.groupBy("__bucket").agg(F.sum("__copies").alias("__n"), F.max("__copies").alias("__most")).collect())
+    bases = [(b, sum(x[1] for x in sums[:i])) for i, (b, _, _) in enumerate(sums)]
     within = Window.partitionBy("__bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
     placed = alike.withColumn("__first", F.sum("__copies").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__copies"))
-    placed = placed.join(F.broadcast(sums), "__bucket")
+    placed = placed.join(F.broadcast(df.sparkSession.createDataFrame(bases, "__bucket long, __base long")), "__bucket")
     first = F.col("__base") + F.col("__first")
-    return placed.select(*keys, F.explode(F.sequence(first, first + F.col("__copies") - 1)).alias("row_number"))
+    if max((most for _, _, most in sums), default=0) <= COPIES:
+        return placed.select(*keys, F.explode(F.sequence(first, first + F.col("__copies") - 1)).alias("row_number"))
+    # A row that comes very often is dealt out in parts before it is made again, so that no task and no array has them all.
+    parts = placed.select(*keys, (first + F.col("__copies")).alias("__stop"), F.explode(F.sequence(first, first + F.col("__copies") - 1, F.lit(COPIES).cast("long"))).alias("__start"))
+    parts = parts.repartition(max(2, -(-n // ROWS_PER_BUCKET)))
+    return parts.select(*keys, F.explode(F.sequence("__start", F.least(F.col("__start") + COPIES, "__stop") - 1)).alias("row_number"))
 
 
 def shards(df: DataFrame, keys: list[str], n_shards: int, seed: int = SEED) -> DataFrame:
@@ -120,6 +126,7 @@ def shards(df: DataFrame, keys: list[str], n_shards: int, seed: int = SEED) -> D
 
 
 def digest(docs: DataFrame, n_shards: int = 40) -> DataFrame:
+    """The op9 contract. Null texts count as empty, null ids as values; see shards() for repeated rows and empty tables."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     out = shards(rows, ["doc_id", "size", "text_crc32"], n_shards)
