@@ -113,6 +113,34 @@ def test_template_keeps_words_beside_words(spark):
     assert row.words[:5] == ["then", "0name", "paid", "0num", "or"]
 
 
+def test_canonical_urls(spark):
+    wanted = {
+        "HTTP://www.Example.com:80/a/./b/../c/?b=%7e1&utm_source=x&a=%2f#f": "example.com/a/c?a=%2F&b=~1",
+        "https://example.com/%61%2fb%C3%a9%zz%": "example.com/a%2Fb%C3%A9%zz%",
+        "http://example.com/../..": "example.com",
+        "http://example.com/a/..b/.c": "example.com/a/..b/.c",
+        "": "",
+    }
+    rows = spark.createDataFrame([(u,) for u in wanted], "url string").select("url", warc_revisits.canonical_url(F.col("url")).alias("c")).collect()
+    assert {r.url: r.c for r in rows} == wanted
+
+
+def test_revisits_of_a_hot_page(spark, monkeypatch):
+    """One URL with most records, most of them at one time or close to it; one record lies far off."""
+    monkeypatch.setattr(warc_revisits, "LEAST_SLICES", 5)
+    rng = random.Random(8)
+    schema = "record_id long, url string, at long, kind string, headers map<string,string>, digest string"
+    rows = [(i, "http://h.com/x" if rng.random() < 0.9 else "http://o.com", 10**15 if i == 7 else 500 if rng.random() < 0.5 else rng.randrange(1000), rng.choice(("response", "revisit", "revisit")), {}, "d") for i in range(3_000)]
+    out = {r.record_id: r.resolved_id for r in warc_revisits.resolved(spark.createDataFrame(rows, schema)).collect()}
+    best, wanted = {}, {}
+    for i, url, at, kind, _, _ in sorted(rows, key=lambda r: (r[2], r[3] == "revisit", r[0])):
+        if kind == "response":
+            best[url] = i
+        else:
+            wanted[i] = best.get(url)
+    assert out == wanted
+
+
 def test_revisits(spark):
     rng = random.Random(7)
     schema = "record_id long, url string, at long, kind string, headers map<string,string>, digest string"

@@ -238,6 +238,16 @@ def test_shards(spark, data):
     assert sorted(map(str, out)) == sorted(map(str, feistel_shards.digest(docs).collect()))
 
 
+def test_shards_of_rows_that_are_alike(spark, monkeypatch):
+    """Most rows are one row, without id and text, made again a few at a time: all numbers are there once."""
+    docs = spark.createDataFrame([(None, None)] * 300 + [(i, "x") for i in range(50)] + [(1, "x")] * 40, "doc_id long, text string")
+    wanted = sorted(map(str, feistel_shards.digest(docs).collect()))
+    monkeypatch.setattr(feistel_shards, "COPIES", 7)
+    out = feistel_shards.digest(docs).collect()
+    assert sorted(map(str, out)) == wanted and sorted(r.row_number for r in out) == [*range(390)]
+    assert sum(r.doc_id is None and r["size"] == 16 for r in out) == 300
+
+
 def brute_secrets(text):
     found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
     found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
