@@ -32,6 +32,8 @@ CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
 #: New words that are merged in one flat array, as a count of their bytes.
 ROUND_BYTES = 1 << 20
+#: A word of more symbols than this is merged by itself, from the places that have changed.
+LONG_WORD = 2_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -141,6 +143,53 @@ def merged_rounds(symbols: np.ndarray, starts: np.ndarray, pairs: PairTable) ->
     return symbols[order], np.searchsorted(word[order], np.arange(n))
 
 
+def merged_long(symbols: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """The merged symbols of one word, as merged_rounds() makes them, in time that goes by the merges and not by rounds times length.
+
+    A round takes all places of the lowest rank there is; places of each rank wait in a list of their own, and only
+    the neighbours of what was merged are looked up anew. As a merge comes after those that make its parts, ranks only rise.
+    """
+    n = len(symbols)
+    symbols = np.append(symbols, -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def wait(at: np.ndarray) -> None:
+        rank = pairs.rank(symbols[at], symbols[after[at]])
+        at, rank = at[rank != NO_RANK], rank[rank != NO_RANK]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank)) + 1
+        for r, part in zip(rank[np.concatenate(([0], cuts))].tolist() if len(rank) else (), np.split(at, cuts), strict=False):
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(part)
+
+    wait(np.arange(n - 1))
+    while ranks:
+        rank = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(rank)))
+        # A place whose pair has changed since waits under its new rank.
+        at = at[(symbols[at] >= 0) & (after[at] < n)]
+        at = at[pairs.rank(symbols[at], symbols[after[at]]) == rank]
+        if not len(at):
+            continue
+        # Of places that touch, every second is taken, from the left.
+        new_run = np.concatenate(([True], after[at[:-1]] != at[1:]))
+        begin = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - begin) % 2 == 0]
+        gone = after[at]
+        symbols[at] = pairs.made[rank]
+        symbols[gone] = -1
+        after[at] = after[gone]
+        before[after[at]] = at
+        left = before[at]
+        wait(np.unique(np.concatenate([at[after[at] < n], left[left >= 0]])))
+    return symbols[:n][symbols[:n] >= 0]
+
+
 class RoundEncoder:
     """Encodes and decodes texts as a vocabulary with word ends says: NFC, white space as one space, lower case."""
 
@@ -170,7 +219,10 @@ class RoundEncoder:
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         symbols = self.vocabulary.byte_ids[flat]
         symbols[starts + lengths - 1] = self.vocabulary.last_ids[flat[starts + lengths - 1]]
-        symbols, starts = merged_rounds(symbols, starts, self.pairs)
+        if len(words) == 1 and len(symbols) > LONG_WORD:
+            symbols = merged_long(symbols, self.pairs)
+        else:
+            symbols, starts = merged_rounds(symbols, starts, self.pairs)
         said = list(map(str, symbols.tolist()))
         ends = np.append(starts[1:], len(said)).tolist()
         return [" ".join(said[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
@@ -184,6 +236,7 @@ class RoundEncoder:
         new = {w: str(self.vocabulary.special[w[1:]]) for w in fresh if w[0] == "\0" and w[1:] in self.vocabulary.special}
         batch: list[str] = []
         size = 0
+        new.update((w, self.encode_new([w])[0]) for w in fresh if w not in new and len(w) > LONG_WORD // 4)
         for w in [*(w for w in fresh if w not in new), ""]:
             if batch and (not w or size + len(w) > ROUND_BYTES):
                 new.update(zip(batch, self.encode_new(batch), strict=True))
@@ -311,7 +364,11 @@ def encoded(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
 
 def op7_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The op7 contract: encoded(), with ids and decoded text as hashes, so that neither is stored."""
+    """The op7 contract: encoded(), with ids and decoded text as hashes, so that neither is stored.
+
+    Null and empty texts have no tokens and decode to nothing; every row is encoded by itself, so ids may be null or
+    repeated; an empty table gives an empty one; further columns play no part.
+    """
     text = docs.sparkSession.sparkContext.broadcast(file_text(path or vocabulary_path("word_bpe_49k.json")))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -323,7 +380,10 @@ def op7_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op8_digest(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
-    """The op8 contract. Null and empty texts have no bytes and no tokens; ids may be null or repeated."""
+    """The op8 contract. Null and empty texts have no bytes and no tokens; ids may be null or repeated.
+
+    An empty table gives an empty one; further columns play no part.
+    """
     text = docs.sparkSession.sparkContext.broadcast(file_text(path or vocabulary_path("byte_bpe_50k.json")))
 
     def make() -> Callable[[list[str]], list[tuple]]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -86,6 +87,17 @@ def test_as_the_library(library, ours, texts):
         assert counter.count(text) == len(byte.encode(text, add_special_tokens=False).ids)
 
 
+def test_long_words_as_the_library(library, ours):
+    """Words without a break, of random letters, of one letter and of Han characters: as the library, and in a few seconds."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 100_000), ("aab", 30_000), ("x", 50_001), ("漢字日本語中文", 30_000), ("etaoin", 501), ("etaoin", 2_001))]
+    began = time.monotonic()
+    found = [*ours[0].encode(texts)]
+    assert time.monotonic() - began < 60
+    for text, ids in zip(texts, found, strict=True):
+        assert ids == " ".join(map(str, library["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids))
+
+
 def test_whole_documents(spark, data, library):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
