@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates: items are found again when their numbers, names or units have changed.
 
-Texts become templates: numbers, names and units turn into typed placeholders. Windows of eight
-template words are joined on their hash, runs of windows with one offset make a passage, and the
-slots of a passage must be filled consistently: one value of the item, one value of the text.
+Texts become templates: numbers, names and units turn into typed placeholders. Windows of eight words
+are joined on their hash, by the template's words and by the text's own in lower case; runs of windows with
+one offset make a passage, and the slots of a passage must be filled consistently: each value of the item by one
+value of the text, and each value of the text for one of the item.
 Built from DataFrame functions alone.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import bounded, keep_ids, table, words_of, written
 
 WINDOW = 8
-#: A window with fewer words that aren't placeholders is told by its own words, not by its template.
+#: A window with fewer words that aren't placeholders is told by its own words alone, not by its template too.
 LITERALS = 4
 #: A passage is a leak from so many words on, or from half the item's words if those are fewer.
 PASSAGE_WORDS = 13
@@ -31,8 +32,9 @@ MARKS = rf"[^\p{{L}}\p{{N}}{SPACE}]+"
 # Each pattern begins with what is rare, so that most characters are passed over at once.
 NUMBERS = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*(?![\p{L}\p{N}])"
 AFTER_NUMBER = rf"(?i){NUMBER}([{SPACE}-]?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
-# A capital after a word that ends no sentence.
-NAMES = rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;)][{SPACE}]\p{{Lu}})\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
+# A word with a capital, wherever it stands: a name may begin a sentence. Its own words tell a window, too, so that
+# a passage is found in another case.
+NAMES = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 #: A word of the template that has a placeholder in it.
 SLOT = f"^(?:{NUMBER}|{NAME}|{UNIT})"
 
@@ -60,16 +62,17 @@ def _templated(df: DataFrame, key: str) -> DataFrame:
     return out.withColumn("slots", slots)
 
 
-def _window_hash(own: Column, words: Column, at: Column, size: int, slots: bool) -> Column:
-    """Hash of a window; places count from 0. With slots, one that is mostly placeholders, which begin with 0, goes by its own words.
+def _window_hashes(own: Column, words: Column, at: Column, size: int, slots: bool) -> Column:
+    """Hashes of a window: that of its own words, and with slots, if it has one and is not mostly placeholders, which begin with 0, its template's.
 
-    Elements are taken one by one: slice() would copy the whole array for each window.
+    Places count from 0. Elements are taken one by one: slice() would copy the whole array for each window.
     """
-    part = [F.get(words, at + k) for k in range(size)]
+    verbatim = F.xxhash64(*[F.get(own, at + k) for k in range(size)])
     if not slots:
-        return F.xxhash64(*part)
+        return F.array(verbatim)
+    part = [F.get(words, at + k) for k in range(size)]
     literal = sum((F.when(w.startswith("0"), 0).otherwise(1) for w in part), F.lit(0))
-    return F.when(literal >= LITERALS, F.xxhash64(*part)).otherwise(F.xxhash64(*[F.get(own, at + k) for k in range(size)]))
+    return F.when((literal >= LITERALS) & (literal < size), F.array(verbatim, F.xxhash64(*part))).otherwise(F.array(verbatim))
 
 
 #: Items with fewer words than this are too short to be told from chance and never match.
@@ -81,9 +84,10 @@ def _windows(df: DataFrame, key: str, strides: dict[int, int], at: str) -> DataF
 
     def of(size: int, stride: int) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(stride))
-        hashed = lambda slots: F.transform(places, lambda i: F.struct(i.alias(at), _window_hash(F.col("own"), F.col("words"), i, size, slots).alias("hash")))
+        own = F.coalesce("own", "words")
+        hashed = lambda slots: F.flatten(F.transform(places, lambda i: F.transform(_window_hashes(own, F.col("words"), i, size, slots), lambda h: F.struct(i.alias(at), h.alias("hash")))))
         none = F.array().cast(f"array<struct<{at}:int,hash:bigint>>")
-        return F.when(F.size("words") < size, none).when(F.col("slots") > size - LITERALS, hashed(True)).otherwise(hashed(False))
+        return F.when(F.size("words") < size, none).when(F.col("slots") > 0, hashed(True)).otherwise(hashed(False))
 
     return reduce(DataFrame.unionByName, [df.select(key, F.inline(of(size, stride))) for size, stride in strides.items()])
 
@@ -141,13 +145,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ))
     pairs = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["v"], s["w"]))))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["v"]))))
-    sound = both.where(pairs == values).withColumn("changed", F.exists("slots", lambda s: s["v"] != s["w"]))
+    fillings = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["w"]))))
+    sound = both.where((pairs == values) & (pairs == fillings)).withColumn("changed", F.exists("slots", lambda s: s["v"] != s["w"]))
     out = sound.select("doc_id", "__item", "found", "n_item_windows", "changed").join(bounded(names, BROADCAST_WINDOWS), "__item")
     return out.groupBy("doc_id", "item_id").agg(F.max("found").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.min("changed").alias("changed"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that hold no item of the benchmark."""
+    """The rows of docs, with their columns, that hold no item of the benchmark. Rows with a null id go or stay together."""
     return keep_ids(docs, written(leaks(docs, benchmark).select("doc_id").distinct(), "op2-leaks"), "left_anti")
 
 
