@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -155,6 +156,47 @@ def test_votes_are_weighed(spark, data):
     assert model.accuracy[0] > model.accuracy[1] and model.accuracy[2] > 0.9
 
 
+def brute_votes(text):
+    """The rules on one text, counted character by character; bounds are those of the rules."""
+    n_words, chars, symbols, dup, repeat = brute_measures(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    usual = len(regex.findall(r"(?<!\S)\p{L}[\p{Ll}\p{Lo}\p{M}]*[.,;:?!]?(?!\S)", text))
+    counted = {"n_symbols": symbols, "n_words": n_words, "n_marks": sum(c in "!?;:_=+~^@\\/" for c in text), "n_repeat_words": repeat, "n_dup_lines": dup, "n_lines": lines, "n_capitals": sum("A" <= c <= "Z" for c in text), "word_chars": chars, "n_digits": sum("0" <= c <= "9" for c in text), "n_usual": usual}
+    out = []
+    for r in weak_quality.RULES:
+        share = counted[r.part] / counted[r.whole] if counted[r.whole] else None
+        if r.good is None:
+            out.append(-1 if share is not None and share > r.bad else 0)
+        else:
+            out.append(0 if share is None else -1 if share < r.bad else 1 if share >= r.good else 0)
+    return out, n_words < 20 or 100 * repeat > 30 * n_words
+
+
+def test_verdicts_against_brute_force(spark, data):
+    """Expectation-maximisation document by document, without patterns, and the same documents kept; junk goes."""
+    data = data.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    voted = {i: brute_votes(t) for i, t in texts.items()}
+    v = np.array([x[0] for x in voted.values()], float)
+    prior, rate = 0.85, np.full(v.shape[1], 0.9)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + v @ np.log(rate / (1 - rate)))))
+        right = np.where(v > 0, p[:, None], np.where(v < 0, 1 - p[:, None], 0)).sum(0)
+        rate = np.clip((9 + right) / (10 + (v != 0).sum(0)), 0.6, 0.98)
+        prior = np.clip((0.85 + p.sum()) / (1 + len(v)), 0.5, 0.9)
+    p = dict(zip(voted, 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + v @ np.log(rate / (1 - rate))))), strict=True))
+    out = weak_quality.digest(docs).collect()
+    for r in out:
+        assert abs(r.quality - p[r.doc_id]) < 1e-6
+        assert r.base_failed == voted[r.doc_id][1] and r.kept == (not r.base_failed and p[r.doc_id] >= 0.5)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    junk = [r.kept for r in out if label.get(r.doc_id) == 0]
+    good = [r.kept for r in out if label.get(r.doc_id) == 1 and not r.base_failed]
+    assert np.mean(junk) < 0.1 and np.mean(good) > 0.99
+
+
 def test_scores_are_the_means_of_all_features(spark):
     """Against the model's words: a mean of words, of n-grams and of pairs, each feature looked up by itself."""
     rng = np.random.default_rng(3)
