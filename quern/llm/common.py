@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,13 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names no such folder (tests on one machine) a temporary one is made and
-    set.
+    Only on one machine (a local master, as in tests), where the session names no such folder, a temporary one is
+    made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -39,7 +46,16 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder: the lineage is cut, and a lost executor costs nothing. rows: a bound, if one is known."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more, not even lazily or after the loss of an executor."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Batches sent to Python hold no more than this, whatever a session allows: two tasks of an executor hold some each.

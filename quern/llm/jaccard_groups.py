@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, lean_batches, table, written
+from quern.llm.common import bounded, forget, lean_batches, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -258,7 +258,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The sets are made of the texts once; whatever looks at sets reads this table.
     sets = written(sets_of(docs), "op5-sets")
     cut = written(prefixes(sets, frequency_levels(sets)), "op5-prefixes")
-    known = cut.drop("prefix", "hot")
+    known = written(cut.drop("prefix", "hot"), "op5-known")
     nodes = written(known.groupBy("n", "set_a", "set_b", "group").agg(F.min("doc_id").alias("node")), "op5-nodes", known.count())
     # One listing per group, whatever the number of its members, under the smallest member's id.
     groups = cut.groupBy("n", "group").agg(F.min("doc_id").alias("leader"), F.first(F.struct("prefix", "hot")).alias("listed"))
@@ -275,6 +275,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = members.join(crowded, ["n", "group"], "left_semi").select(F.xxhash64("n", "group", F.lit("group")).alias("shingle"), "node", "n", F.lit(True).alias("own"))
     entries = written(entries.unionByName(own), "op5-entries")
 
+    forget(cut, lists)
     most, n_links = entries.count(), 0
     links = inner.limit(0)
     labels: DataFrame | None = None
@@ -296,6 +297,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if n_links:
         labels = components(links, n_links)
     open_ = written(_open(entries, labels, F.col("node")).select("shingle", "node", "n", "own", "component"), "op5-open", most)
+    forget(entries)
     every = nodes.select("node").distinct()
     every = every.withColumn("component", F.col("node")) if labels is None else every.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     if still := open_.count():
@@ -311,6 +313,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if n := pairs.count():
             joined = components(ends.where("a <> b").distinct(), n).select(F.col("node").alias("__node"), F.col("component").alias("__to"))
             every = every.join(joined, F.col("component") == F.col("__node"), "left").select("node", F.coalesce("__to", "component").alias("component"))
+    every = written(every, "op5-components", known.count())
+    forget(sets, open_)
     return known.join(nodes.drop("group"), ["n", "set_a", "set_b"]), every
 
 
