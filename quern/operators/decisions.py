@@ -6,6 +6,7 @@ per batch; the first of several that doesn't fail is used, and a step has a defi
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,7 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import stripped, tokens
+from quern.common import bounded
+from quern.functions.text import stripped, tokens, topic
 from quern.settings import DEFAULTS, Settings
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,20 +33,37 @@ GENERAL_PROMPT = "Answer briefly from general knowledge.\nQuestion: {question}"
 
 
 def rendered(template: str, **values: Column) -> Column:
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(value, F.lit("")))
-    return out
+    """The template with {name} filled in for each value, null as nothing; braces within values are left alone."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[p], F.lit("")) if i % 2 and p in values else F.lit(f"{{{p}}}" if i % 2 else p) for i, p in enumerate(parts)])
 
 
 def routed(questions: DataFrame, topics: Column) -> DataFrame:
-    """questions with route and reasoning, by rules.
+    """questions with route and reasoning, by rules, for topics that are one text."""
+    return _by_rules(questions, F.arrays_overlap(_long(F.col("question")), _long(topics)))
 
-    none for small talk; web for what asks for news; vector for what shares a word with the topics; both
+
+def topic_words(manifest: DataFrame) -> DataFrame:
+    """word: the distinct words of more than three letters in what the sources are about."""
+    return manifest.select(F.explode(_long(topic(F.col("source")))).alias("word")).distinct()
+
+
+def routed_by(questions: DataFrame, words: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """As routed(), for a table of topic words: questions' words meet them, and no text of all topics is made. question_id is the key."""
+    asked = questions.select("question_id", F.explode(F.array_distinct(_long(F.col("question")))).alias("word"))
+    local = asked.join(bounded(words, settings.broadcast_rows), "word", "left_semi").select("question_id").distinct().withColumn("__local", F.lit(True))
+    return _by_rules(questions.join(local, "question_id", "left"), F.coalesce("__local", F.lit(False))).drop("__local")
+
+
+def _long(text: Column) -> Column:
+    return F.filter(tokens(text), lambda t: F.length(t) > 3)
+
+
+def _by_rules(questions: DataFrame, local: Column) -> DataFrame:
+    """none for small talk; web for what asks for news; vector for what shares a word with the topics; both
     if it is both, or neither.
     """
     asked = tokens(F.col("question"))
-    local = F.arrays_overlap(F.filter(asked, lambda t: F.length(t) > 3), F.filter(tokens(topics), lambda t: F.length(t) > 3))
     recent = F.arrays_overlap(asked, F.array(*map(F.lit, RECENT)))
     chat = (F.size(asked) <= 3) & F.arrays_overlap(asked, F.array(*map(F.lit, SMALL_TALK)))
     route = F.when(chat, "none").when(recent & local, "both").when(recent, "web").when(local, "vector").otherwise("both")
@@ -52,11 +71,11 @@ def routed(questions: DataFrame, topics: Column) -> DataFrame:
     return questions.withColumn("route", route).withColumn("reasoning", why)
 
 
-def sub_queries(question: Column, most: int = 5) -> Column:
-    """The questions within a question: cut at question marks, semicolons and `and` before a question word."""
+def sub_queries(question: Column) -> Column:
+    """The questions within a question, all of them: cut at question marks, semicolons and `and` before a question word."""
     cut = F.split(question, r"(?i)\?\s+|;\s*|,?\s+and\s+(?=(?:who|what|when|where|why|how|which)\b)")
     parts = F.filter(F.transform(cut, stripped), lambda x: x != "")
-    return F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(F.array(question))
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(question))
 
 
 def graded(fused: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -35,7 +35,7 @@ def through_cache(requests: DataFrame, log: DataFrame, compute: Callable[[DataFr
     cache = cache_state(log)
     live = cache.where(F.col("expires_at") > now).select("key", "value")
     fresh = compute(misses(requests, cache, F.lit(now))).select("key", "value").cache()
-    writes = fresh.select("key", "value", F.lit(now).alias("written_at"), F.monotonically_increasing_id().alias("seq"), F.lit(ttl).alias("ttl"))
+    writes = fresh.select("key", "value", F.lit(now).alias("written_at"), F.xxhash64("key").alias("seq"), F.lit(ttl).alias("ttl"))
     return requests.join(live.unionByName(fresh), "key", "left"), writes
 
 

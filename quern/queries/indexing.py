@@ -49,9 +49,12 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the message that a finished ingest shows."""
-    counts = ingest.counters(changes_of(spark, sf_dir))
-    return counts.withColumn("message", tasks.final_message(F.col("changed_files"), F.col("changed_files"), F.col("removed_files")))
+    """With the message that a finished ingest shows. Chunks are so large that a file with text is one, which SQL can count."""
+    files, changes = files_of(spark, sf_dir), changes_of(spark, sf_dir)
+    fresh = changes.where(F.col("status").isin("new", "changed")).select("source")
+    added = chunking.chunked(files.join(fresh, "source", "left_semi"), 1 << 30).agg(F.count(F.lit(1)).alias("__added"))
+    counts = ingest.counters(changes).crossJoin(F.broadcast(added))
+    return counts.withColumn("message", tasks.final_message(F.col("__added"), F.col("changed_files"), F.col("removed_files"))).drop("__added")
 
 
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,18 +124,17 @@ m AS (SELECT source, CASE WHEN doc_id % 11 = 0 THEN 'another' ELSE hash END AS h
 c AS (SELECT coalesce(f.source, m.source) AS source, CASE WHEN f.source IS NULL THEN 'removed' WHEN m.source IS NULL THEN 'new' WHEN f.hash = m.hash THEN 'skipped' ELSE 'changed' END AS status FROM f FULL OUTER JOIN m ON f.source = m.source)
 """
 TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
-_DF = f"WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, n)"
+_DF = f"WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS MATERIALIZED (SELECT count(*) AS n FROM documents), r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, n)"
 
 SQL = {
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
-    "source_fingerprint": """WITH p AS (SELECT source, doc_id // 1024 AS part, sha256(string_agg(text, chr(0) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY ALL)
-SELECT source, CASE WHEN count(*) = 1 THEN min(digest) ELSE sha256(string_agg(digest, chr(0) ORDER BY part)) END AS hash, CAST(sum(n) AS BIGINT) AS n_pages FROM p GROUP BY source""",
+    "source_fingerprint": "SELECT source, sha256(coalesce(string_agg(text, chr(0) ORDER BY doc_id, text), '')) AS hash, count(*) AS n_pages FROM documents GROUP BY source",
     "manifest_diff": _CHANGES + "SELECT * FROM c",
-    "ingest_counters": _CHANGES + "SELECT count(*) FILTER (WHERE status IN ('new', 'changed')) AS changed_files, count(*) FILTER (WHERE status = 'skipped') AS skipped_files, count(*) FILTER (WHERE status = 'removed') AS removed_files, 'Indexed ' || count(*) FILTER (WHERE status IN ('new', 'changed')) || ' chunks.' AS message FROM c",
+    "ingest_counters": _CHANGES + "SELECT count(*) FILTER (WHERE status IN ('new', 'changed')) AS changed_files, count(*) FILTER (WHERE status = 'skipped') AS skipped_files, count(*) FILTER (WHERE status = 'removed') AS removed_files, 'Indexed ' || count(*) FILTER (WHERE status IN ('new', 'changed') AND regexp_matches(text, '[^\\s]')) || ' chunks.' AS message FROM c LEFT JOIN (SELECT 'doc' || doc_id AS source, text FROM documents) USING (source)",
     "dedup_exact": "SELECT sha256(text) AS content_hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1",
     "tokenize_counts": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)",
     "bm25_corpus_stats": f"SELECT count(*) AS n_chunks, round(avg(len({TOKENS.format('text')})), 6) AS avg_tokens FROM documents",
-    "bm25_term_stats": _DF + "SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END, 6) AS idf FROM r",
+    "bm25_term_stats": _DF + ", m AS MATERIALIZED (SELECT avg(raw) AS mean FROM r) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r, m",
     "bm25_postings": f"WITH t AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS occurrences FROM t GROUP BY term",
     "hash_embedding": r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
 b AS (SELECT doc_id, CAST('0x' || substr(sha256(w), 63, 2) AS INT) % 64 AS bucket, count(*) AS n FROM w GROUP BY ALL)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quern.common import constants, r6, table
 from quern.functions import text as tx
 from quern.operators import evaluate, report, tasks
-from quern.operators.decisions import sub_queries
 
 #: What the five kinds of events stand for in the queries below.
 NODES = [("signup", "route_query"), ("view", "retrieve_vector"), ("click", "retrieve_bm25"), ("purchase", "grade_and_score"), ("error", "synthesize_answer")]
@@ -112,17 +111,16 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each item is a question with three references cut from it; what was retrieved are parts of English documents.
+    """Each item is a question whose reference is its text; what was retrieved are all documents, and for two of three items their own text, changed a little.
 
-    Texts are bare letters, so that characters and bytes are the same for every engine.
+    Texts are whole, but for characters beyond ASCII, so that characters and bytes are the same for every engine.
     """
-    bare = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    items = table(spark, sf_dir, "benchmark")
-    questions = items.select(F.col("item_id").alias("question_id"))
-    refs = items.select(F.col("item_id").alias("question_id"), F.posexplode(F.array(*[F.substring(bare(F.col("text")), 1 + 40 * i, 60) for i in range(3)])).alias("ref_no", "reference"))
-    texts = table(spark, sf_dir, "documents").where("lang = 'en'").select((F.col("doc_id") % items.count()).alias("question_id"), F.floor(F.col("doc_id") / items.count()).alias("rank"), F.substring(bare(F.col("text")), 1, 60).alias("retrieved"))
-    own = items.select(F.col("item_id").alias("question_id"), F.lit(-1).cast("long").alias("rank"), F.substring(bare(F.col("text")), 5, 60).alias("retrieved")).where("question_id % 3 <> 0")
-    return questions, refs, texts.unionByName(own)
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), bare(F.col("text")).alias("reference"))
+    n = items.count()
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("question_id"), F.floor(F.col("doc_id") / n).alias("rank"), bare(F.col("text")).alias("retrieved"))
+    own = items.where("question_id % 3 <> 0").select("question_id", F.lit(-1).cast("long").alias("rank"), F.concat(F.lit("seen: "), F.col("reference")).alias("retrieved"))
+    return items.select("question_id"), items.select("question_id", F.lit(0).alias("ref_no"), "reference"), texts.unionByName(own)
 
 
 def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,29 +133,6 @@ def context_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.context_precision(evaluate.context_pairs(got, refs), questions).select("question_id", r6(F.col("precision")).alias("precision"))
 
 
-def whole_contexts_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As contexts_of, but of whole texts: each item is a question whose reference is its text, and all documents were retrieved.
-
-    Too slow for SQL, and characters aren't bare here, so these queries have none.
-    """
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = items.count()
-    refs = items.select("question_id", F.lit(0).alias("ref_no"), F.col("text").alias("reference"))
-    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("question_id"), F.floor(F.col("doc_id") / n).alias("rank"), F.coalesce("text", F.lit("")).alias("retrieved"))
-    own = items.where("question_id % 3 <> 0").select("question_id", F.lit(-1).cast("long").alias("rank"), F.concat(F.lit("seen: "), F.col("text")).alias("retrieved"))
-    return items.select("question_id"), refs, texts.unionByName(own)
-
-
-def context_recall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, refs, got = whole_contexts_of(spark, sf_dir)
-    return evaluate.context_recall(evaluate.context_pairs(got, refs), questions, refs).select("question_id", r6(F.col("recall")).alias("recall"))
-
-
-def context_precision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, refs, got = whole_contexts_of(spark, sf_dir)
-    return evaluate.context_precision(evaluate.context_pairs(got, refs), questions).select("question_id", r6(F.col("precision")).alias("precision"))
-
-
 def metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of numbers some of which aren't: NaN is skipped."""
     rows = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, F.lit(float("nan"))).otherwise(F.col("quality").cast("double")).alias("quality"), F.col("toxic").cast("double").alias("toxic"))
@@ -170,10 +145,10 @@ def question_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three user questions of each conversation, in order: a limit is by place, never by chance."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return listed.select("conv_id", F.posexplode(F.slice("t", 1, 3)).alias("line_no", "t")).select("conv_id", "line_no", "t.turn", F.size(sub_queries(F.col("t.text"))).alias("parts"))
+    return listed.select("conv_id", F.posexplode(F.slice("t", 1, 3)).alias("line_no", "t")).select("conv_id", "line_no", "t.turn", F.sha2("t.text", 256).alias("question_hash"))
 
 
-QUERIES = {f.__name__: f for f in (visit_sequence, latency_by_stage, total_latency, formatted_latency, visits_by_node, stage_status, stream_frames, task_state, registry_evict, upload_status, cache_lookup, rate_windows, route_match, context_recall, context_precision, context_recall_whole, context_precision_whole, metric_means, question_limit)}
+QUERIES = {f.__name__: f for f in (visit_sequence, latency_by_stage, total_latency, formatted_latency, visits_by_node, stage_status, stream_frames, task_state, registry_evict, upload_status, cache_lookup, rate_windows, route_match, context_recall, context_precision, metric_means, question_limit)}
 
 _VISITS = f"WITH {_NODES_SQL}, v AS (SELECT user_id AS run_id, ts, event_id, node, value AS latency_ms, event_id % 2 = 0 AS loading, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events JOIN n USING (event_type))"
 _STATE = """WITH l AS (SELECT user_id AS task_id, event_id AS seq, epoch_us(ts) / 1000000 AS ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'indexed' END AS stage, CASE WHEN event_type <> 'error' THEN 'message ' || event_id END AS message, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error, CASE WHEN event_type = 'purchase' THEN event_id % 100 END AS indexed_chunks FROM events),
@@ -181,10 +156,10 @@ s AS (SELECT task_id, arg_max(stage, seq) AS stage, arg_max(message, seq) AS mes
 """
 _LABELS = "CASE WHEN node LIKE 'retrieve%' THEN 'Retrieval' WHEN node = 'route_query' THEN 'Route' WHEN node = 'grade_and_score' THEN 'Grading' WHEN node = 'synthesize_answer' THEN 'Synthesis' ELSE node END"
 _KEY = "'v1:router:' || sha256(({0} % 997) || '|topics')"
-_CONTEXTS = """WITH i AS (SELECT item_id AS question_id, regexp_replace(text, '[^ -~]', '', 'g') AS t, (SELECT count(*) FROM benchmark) AS n FROM benchmark),
-refs AS (SELECT question_id, ref_no, substr(t, 1 + 40 * ref_no, 60) AS reference FROM i, range(3) r(ref_no)),
-got AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS question_id, doc_id // (SELECT count(*) FROM benchmark) AS rank, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS retrieved FROM documents WHERE lang = 'en' UNION ALL SELECT question_id, -1, substr(t, 5, 60) FROM i WHERE question_id % 3 <> 0),
-p AS (SELECT question_id, rank, ref_no, CASE WHEN greatest(length(retrieved), length(reference)) = 0 THEN 1.0 ELSE 1 - levenshtein(retrieved, reference) / greatest(length(retrieved), length(reference)) END AS similarity FROM got JOIN refs USING (question_id))
+_CONTEXTS = """WITH n AS MATERIALIZED (SELECT count(*) AS n FROM benchmark),
+refs AS MATERIALIZED (SELECT item_id AS question_id, 0 AS ref_no, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS reference FROM benchmark),
+got AS (SELECT doc_id % n AS question_id, doc_id // n AS rank, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS retrieved FROM documents, n UNION ALL SELECT question_id, -1, 'seen: ' || reference FROM refs WHERE question_id % 3 <> 0),
+p AS MATERIALIZED (SELECT question_id, rank, ref_no, CASE WHEN least(length(retrieved), length(reference)) < 0.5 * greatest(length(retrieved), length(reference)) THEN 0.0 WHEN greatest(length(retrieved), length(reference)) = 0 THEN 1.0 ELSE 1 - levenshtein(retrieved, reference) / greatest(length(retrieved), length(reference)) END AS similarity FROM got JOIN refs USING (question_id))
 """
 
 SQL = {
@@ -209,6 +184,7 @@ SELECT conv_id, turn, r.key, value, value IS NOT NULL AS hit FROM r LEFT JOIN (S
     "rate_windows": "WITH m AS (SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, user_id, count(*) AS requests FROM events GROUP BY ALL), a AS (SELECT *, CAST(sum(requests) OVER (PARTITION BY minute) AS BIGINT) AS all_requests FROM m) SELECT minute, user_id, requests, all_requests, requests > 1 OR all_requests > 3 AS limited FROM a",
     "route_match": "SELECT doc_id, (CASE WHEN lang = 'en' THEN 'vector' ELSE 'web' END) = (CASE WHEN quality = 1 THEN 'vector' ELSE 'web' END) AS route_match, toxic <> 1 AND ('src' || doc_id % 20) IN (source, 'src1') AS source_overlap FROM labels JOIN documents USING (doc_id)",
     "context_recall": _CONTEXTS + ", b AS (SELECT question_id, ref_no, max(similarity) AS best FROM p GROUP BY ALL) SELECT question_id, round(avg(CASE WHEN best > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM refs LEFT JOIN b USING (question_id, ref_no) GROUP BY question_id",
-    "context_precision": _CONTEXTS + ", v AS (SELECT question_id, rank, CASE WHEN max(similarity) >= 0.5 THEN 1.0 ELSE 0.0 END AS v FROM p GROUP BY question_id, rank), a AS (SELECT question_id, v, v * sum(v) OVER w / count(*) OVER w AS p FROM v WINDOW w AS (PARTITION BY question_id ORDER BY rank)), m AS (SELECT question_id, sum(p) / (sum(v) + 1e-10) AS precision FROM a GROUP BY question_id) SELECT i.question_id, round(precision, 6) AS precision FROM i LEFT JOIN m USING (question_id)",
+    "context_precision": _CONTEXTS + ", v AS (SELECT question_id, rank, CASE WHEN max(similarity) >= 0.5 THEN 1.0 ELSE 0.0 END AS v FROM p GROUP BY question_id, rank), a AS (SELECT question_id, v, v * sum(v) OVER w / count(*) OVER w AS p FROM v WINDOW w AS (PARTITION BY question_id ORDER BY rank)), m AS (SELECT question_id, sum(p) / (sum(v) + 1e-10) AS precision FROM a GROUP BY question_id) SELECT r.question_id, round(precision, 6) AS precision FROM refs r LEFT JOIN m USING (question_id)",
+    "question_limit": "SELECT conv_id, line_no, turn, sha256(text) AS question_hash FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INT) AS line_no FROM conversations WHERE role = 'user') WHERE line_no < 3",
     "metric_means": "SELECT round(avg(quality) FILTER (WHERE toxic <> 1), 6) AS quality, round(avg(toxic), 6) AS toxic, 52 AS calls, 78 AS calls_judged FROM labels",
 }

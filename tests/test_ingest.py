@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators.ingest import Index, corpus_topics, fingerprints
@@ -35,7 +36,51 @@ def test_fingerprints_see_order(spark):
 
     assert hashes["x"] == hashlib.sha256(b"1\x002").hexdigest()
     many = spark.range(2500).select(F.lit("z").alias("source"), F.col("id").cast("int").alias("page"), F.col("id").alias("doc_ord"), F.col("id").cast("string").alias("content"))
-    assert fingerprints(many).first().n_pages == 2500
+    assert fingerprints(many.repartition(7)).first().n_pages == 2500
+    # The plain hash at any number of pages, from 1,500 to those numbered apart; null contents are passed over.
+    assert fingerprints(many.repartition(7)).first().hash == hashlib.sha256("\0".join(map(str, range(2500))).encode()).hexdigest()
+    far = spark.createDataFrame([("f", 1, 10**6, "b"), ("f", 0, 3, "a"), ("f", 2, 10**7, None), ("g", 0, 0, None), (None, 0, 0, "n")], SCHEMA)
+    assert {r.source: (r.hash, r.n_pages) for r in fingerprints(far).collect()} == {"f": (hashlib.sha256(b"a\0b").hexdigest(), 3), "g": (hashlib.sha256(b"").hexdigest(), 1), None: (hashlib.sha256(b"n").hexdigest(), 1)}
+    assert fingerprints(far.limit(0)).count() == 0
+
+
+def test_a_run_writes_only_what_is_new(spark, tmp_path, monkeypatch):
+    index = Index(spark, f"file://{tmp_path}/index")
+    rows = lambda texts: spark.createDataFrame([(s, None, 0, t) for s, t in texts.items()], SCHEMA)
+    written = lambda: {d.name: sum(1 for _ in spark.read.parquet(str(d)).collect()) for d in (tmp_path / "index" / "chunks").iterdir()}
+    texts = {f"s{i}.md": f"text {i}" for i in range(20)}
+    index.build(rows(texts))
+    before = set(written())
+    texts["s3.md"] = "another"
+    del texts["s4.md"]
+    assert index.build(rows(texts)).indexed_chunks == 1
+    (new,) = set(written()) - before
+    assert written()[new] == 1
+    assert {r.source: r.content for r in index.chunks().collect()} == texts and {r.source for r in index.manifest().collect()} == set(texts)
+    # A source that comes back, and a run that dies before its pointer is there.
+    texts["s4.md"] = "text 4"
+    with monkeypatch.context() as m:
+        m.setattr(Index, "_point_to", lambda self, number, deltas: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.build(rows(texts))
+    assert "s4.md" not in {r.source for r in index.chunks().collect()}
+    assert index.build(rows(texts)).changed_files == 1 and {r.source: r.content for r in index.chunks().collect()} == texts
+    # Two runs at once: the second finds its number taken, and the first stands.
+    number, deltas = index.pointer()
+    index._point_to(number + 1, deltas)
+    with pytest.raises(RuntimeError):
+        index._point_to(number + 1, [])
+    assert {r.source: r.content for r in index.chunks().collect()} == texts
+    # Many deltas become one.
+    monkeypatch.setattr(Index, "COMPACT_AT", 3)
+    texts["s5.md"] = "five"
+    assert index.build(rows(texts)).indexed_chunks == 1
+    assert len(index.pointer()[1]) == 1 and {r.source: r.content for r in index.chunks().collect()} == texts
+    texts["s6.md"] = "six"
+    index.build(rows(texts))
+    texts["s7.md"] = "seven"
+    index.build(rows(texts))
+    assert {r.source: r.content for r in index.chunks().collect()} == texts and len(written()) <= 4
 
 
 def test_topics(spark):

@@ -1,7 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
-from quern.operators import tasks
-from quern.plans.research import events, research
+from quern.operators import decisions, evaluate, tasks
+from quern.plans.research import Providers, events, research
+from quern.sources.files import golden_questions
 
 CHUNKS = [("a::0", 0, "dams.md", "The tall dam on the river holds water. It was built in 1931."), ("b::0", 1, "ferns.md", "Ferns grow in the shade. They have no flowers."), ("c::0", 2, "owls.md", "Owls hunt at night. The barn owl is pale."), ("d::0", 3, "bees.md", "Bees dance to show the way. Honey keeps for years.")]
 PAGES = [(1, "http://x.example/1", "<title>Storms</title><p>The latest storm broke the dam wall.</p>"), (2, "http://x.example/2", "<title>Night</title><p>Many owls were seen hunting.</p>"), (3, "http://x.example/3", "<title>Tea</title><p>Tea is warm.</p>")]
@@ -25,6 +28,63 @@ def test_research(spark):
     assert all(r.m == r.n for r in ranks)
 
 
+def test_many_sub_queries_keep_apart(spark):
+    """Nine parts of one question, beside the next question: none is dropped, and none gets another's hits."""
+    _, chunks, pages, manifest = tables(spark)
+    many = "; ".join(f"owls {i}" for i in range(9))
+    done = research(spark.createDataFrame([(1, many), (2, "ferns in the shade")], "question_id long, question string"), chunks, pages, manifest)
+    assert {r.question_id: len(r.sub_queries) for r in done.summary.collect()} == {1: 9, 2: 1}
+    found = {(r.question_id, r.sub_query, r.source_id) for r in done.hits.where("path = 'bm25'").collect()}
+    assert {f for f in found if f[0] == 1} == {(1, f"owls {i}", "owls.md") for i in range(9)}
+    assert (2, "ferns in the shade", "ferns.md") in found
+    done.release()
+
+
+def test_providers_with_fallback_and_cache(spark):
+    questions, chunks, pages, manifest = tables(spark)
+
+    def broken(rows):
+        raise RuntimeError("no model")
+
+    log = spark.createDataFrame([], "key string, value string, written_at double, seq long, ttl int")
+    web = lambda rows: ["web" if "owls" in q else "vector" for q, _ in rows]
+    made = Providers(router=(broken, web), decomposer=(lambda rows: [[q, "bees"] for (q,) in rows],), grader=(lambda rows: [{"relevant": True, "score": 0.9} for _ in rows],), synthesizer=(broken, lambda rows: [f"said of {len(p)}" for (p,) in rows]), log=log, now=100.0)
+    done = research(questions, chunks, pages, manifest, providers=made)
+    routes = {r.question_id: (r.route, len(r.sub_queries), r.confidence) for r in done.summary.collect()}
+    assert routes == {1: ("vector", 2, 0.9), 2: ("vector", 2, 0.9), 4: ("vector", 2, 0.9), 5: ("web", 2, 0.9)}
+    assert all(r.answer.startswith("said of ") for r in done.reports.collect())
+    writes = done.writes[0].unionByName(done.writes[1]).collect()
+    assert len(writes) == 8 and {r.ttl for r in writes} == {300, 1800}
+    # What is in the cache isn't asked for again; after its time it is, and where all fail the rules decide.
+    kept = spark.createDataFrame(writes, log.schema)
+    again = research(questions, chunks, pages, manifest, providers=Providers(router=(broken,), log=kept, now=200.0))
+    assert {r.question_id: r.route for r in again.summary.collect()} == {k: v[0] for k, v in routes.items()}
+    late = research(questions, chunks, pages, manifest, providers=Providers(router=(broken,), grader=(broken,), synthesizer=(broken,), log=kept, now=1e6))
+    plain = research(questions, chunks, pages, manifest)
+    assert {r.question_id: r.route for r in late.summary.collect()} == {r.question_id: r.route for r in plain.summary.collect()}
+    assert {r.question_id: r.answer for r in late.reports.collect()} == {r.question_id: r.answer for r in plain.reports.collect()}
+    for r in (done, again, late, plain):
+        r.release()
+
+
+def test_prompts_leave_braces_alone(spark):
+    row = spark.range(1).select(decisions.rendered("{a}-{b}-{c}", a=F.lit("{b}"), b=F.lit(None).cast("string")).alias("p")).first()
+    assert row.p == "{b}--{c}"
+
+
+def test_evaluation_and_its_sink(spark, tmp_path):
+    _, chunks, pages, manifest = tables(spark)
+    lines = [{"question": "When was the tall dam built?", "ground_truth": "1931", "reference_contexts": [CHUNKS[0][3]], "expected_route": "both", "expected_sources": ["dams.md"]}, {"question": "   ", "ground_truth": "", "reference_contexts": [], "expected_route": "none", "expected_sources": []}, {"question": "Do bees dance?", "ground_truth": "yes", "reference_contexts": ["zzz", CHUNKS[3][3]], "expected_route": "web", "expected_sources": ["bees.md"]}, {"question": "not asked", "ground_truth": "", "reference_contexts": [], "expected_route": "", "expected_sources": []}]
+    (tmp_path / "golden.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    done = evaluate.run_eval(golden_questions(spark, f"{tmp_path}/golden.jsonl"), lambda questions: research(questions, chunks, pages, manifest))
+    done.write(f"{tmp_path}/out")
+    rows = {r.question_id: r for r in spark.read.json(f"{tmp_path}/out/results").collect()}
+    assert sorted(rows) == [0, 1, 2]
+    assert rows[0].source_overlap and rows[0].context_recall == 1.0 and rows[2].context_recall == 0.5 and not rows[1].route_match and rows[1].actual_sources == []
+    means = spark.read.json(f"{tmp_path}/out/metrics").first()
+    assert means.context_recall == 0.75 and abs(means.source_overlap - 2 / 3) < 1e-9
+
+
 def test_events(spark):
     said = list(events(*tables(spark), deadline=1e9))
     assert said[-1].kind == "done" and said[-1].result.reports.count() == 4
