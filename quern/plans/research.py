@@ -109,7 +109,13 @@ def _steps(questions: DataFrame, chunks: DataFrame, pages: DataFrame, manifest:
     held: list[DataFrame] = []
     writes: list[DataFrame] = []
 
+    # With providers the logical plan is too large to carry on from step to step: it is cut where there is a folder for that.
+    sc = questions.sparkSession.sparkContext
+    cut = any((providers.router, providers.decomposer, providers.grader, providers.synthesizer)) and (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir())
+
     def hold(df: DataFrame) -> DataFrame:
+        if cut:
+            return df.checkpoint()
         held.append(df.cache())
         return held[-1]
 

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quern.operators import decisions, evaluate, tasks
-from quern.plans.research import Providers, events, research
+from quern.plans.research import Providers, _through, events, research
 from quern.sources.files import golden_questions
 
 CHUNKS = [("a::0", 0, "dams.md", "The tall dam on the river holds water. It was built in 1931."), ("b::0", 1, "ferns.md", "Ferns grow in the shade. They have no flowers."), ("c::0", 2, "owls.md", "Owls hunt at night. The barn owl is pale."), ("d::0", 3, "bees.md", "Bees dance to show the way. Honey keeps for years.")]
@@ -42,6 +42,7 @@ def test_many_sub_queries_keep_apart(spark):
 
 def test_providers_with_fallback_and_cache(spark):
     questions, chunks, pages, manifest = tables(spark)
+    questions = questions.where("question_id IN (1, 5)")
 
     def broken(rows):
         raise RuntimeError("no model")
@@ -50,21 +51,34 @@ def test_providers_with_fallback_and_cache(spark):
     web = lambda rows: ["web" if "owls" in q else "vector" for q, _ in rows]
     made = Providers(router=(broken, web), decomposer=(lambda rows: [[q, "bees"] for (q,) in rows],), grader=(lambda rows: [{"relevant": True, "score": 0.9} for _ in rows],), synthesizer=(broken, lambda rows: [f"said of {len(p)}" for (p,) in rows]), log=log, now=100.0)
     done = research(questions, chunks, pages, manifest, providers=made)
-    routes = {r.question_id: (r.route, len(r.sub_queries), r.confidence) for r in done.summary.collect()}
-    assert routes == {1: ("vector", 2, 0.9), 2: ("vector", 2, 0.9), 4: ("vector", 2, 0.9), 5: ("web", 2, 0.9)}
-    assert all(r.answer.startswith("said of ") for r in done.reports.collect())
+    rows = {r.question_id: r for r in done.summary.join(done.reports.select("question_id", "answer"), "question_id").collect()}
+    assert {k: (r.route, len(r.sub_queries), r.confidence) for k, r in rows.items()} == {1: ("vector", 2, 0.9), 5: ("web", 2, 0.9)}
+    assert all(r.answer.startswith("said of ") for r in rows.values())
     writes = done.writes[0].unionByName(done.writes[1]).collect()
-    assert len(writes) == 8 and {r.ttl for r in writes} == {300, 1800}
-    # What is in the cache isn't asked for again; after its time it is, and where all fail the rules decide.
-    kept = spark.createDataFrame(writes, log.schema)
-    again = research(questions, chunks, pages, manifest, providers=Providers(router=(broken,), log=kept, now=200.0))
-    assert {r.question_id: r.route for r in again.summary.collect()} == {k: v[0] for k, v in routes.items()}
-    late = research(questions, chunks, pages, manifest, providers=Providers(router=(broken,), grader=(broken,), synthesizer=(broken,), log=kept, now=1e6))
-    plain = research(questions, chunks, pages, manifest)
-    assert {r.question_id: r.route for r in late.summary.collect()} == {r.question_id: r.route for r in plain.summary.collect()}
-    assert {r.question_id: r.answer for r in late.reports.collect()} == {r.question_id: r.answer for r in plain.reports.collect()}
-    for r in (done, again, late, plain):
-        r.release()
+    assert len(writes) == 4 and {r.ttl for r in writes} == {300, 1800}
+    done.release()
+
+
+def test_steps_go_through_the_cache(spark):
+    """What is in the cache isn't asked for; after its time it is; a key is asked for once; failures aren't written."""
+    log = spark.createDataFrame([("k1", "kept", 100.0, 1, 50), ("k2", "gone", 0.0, 2, 50)], "key string, value string, written_at double, seq long, ttl int")
+    df = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k2"), (4, "k3")], "id long, q string")
+    fails = lambda rows: [None if q == "k3" else f"new {q} {len(rows)}" for (q,) in rows]
+    out, (writes,) = _through(df.coalesce(1), F.col("q"), "said", ["q"], [fails], Providers(log=log, now=120.0), 50)
+    assert {r.id: (r.said or "")[:6] for r in out.collect()} == {1: "kept", 2: "new k2", 3: "new k2", 4: ""}
+    assert [(r.key, r.ttl) for r in writes.collect()] == [("k2", 50)]
+
+
+def test_all_providers_fail(spark):
+    questions, chunks, pages, manifest = tables(spark)
+
+    def broken(rows):
+        raise RuntimeError("no model")
+
+    late = research(questions.where("question_id = 1"), chunks, pages, manifest, providers=Providers(router=(broken,), decomposer=(broken,), synthesizer=(broken,)))
+    row = late.reports.join(late.summary.select("question_id", "route", "sub_queries"), "question_id").first()
+    assert row.route == "both" and len(row.sub_queries) == 1 and "[1]" in row.answer
+    late.release()
 
 
 def test_prompts_leave_braces_alone(spark):
