@@ -39,55 +39,56 @@ NAMES = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 SLOT = f"^(?:{NUMBER}|{NAME}|{UNIT})"
 
 
-def template(text: Column) -> Column:
-    """The text with typed placeholders; word for word beside the text."""
-    numbered = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, NUMBERS, NUMBER), AFTER_NUMBER, f"{NUMBER}$1{UNIT}")).otherwise(text)
-    return F.regexp_replace(numbered, NAMES, NAME)
+def _without_marks(text: Column) -> Column:
+    return F.regexp_replace(text, MARKS, "")
 
 
-def _words(text: Column) -> Column:
-    return words_of(F.lower(F.regexp_replace(text, MARKS, "")))
+def _numbered(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, NUMBERS, NUMBER), AFTER_NUMBER, f"{NUMBER}$1{UNIT}")
 
 
 def _templated(df: DataFrame, key: str) -> DataFrame:
-    """key, own (the words), words (the template's), both in lower case, and slots: how many have a placeholder.
+    """key, own (the words), words (the template's, word for word beside them), both in lower case.
 
-    Without placeholders own is null: the words are the template's.
+    Numbers and units are replaced in the text as it is, marks go, and names are replaced in what is left. Without
+    placeholders own is null: the words are the template's.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = df.select(F.col(key), text.alias("__text"), template(text).alias("__template"))
-    changed = F.col("__text") != F.col("__template")
-    out = out.select(key, F.when(changed, _words(F.col("__text"))).alias("own"), _words(F.col("__template")).alias("words"))
-    slots = F.when(F.col("own").isNull(), 0).otherwise(F.size(F.filter("words", lambda w: w.startswith("0"))))
-    return out.withColumn("slots", slots)
+    out = df.select(F.col(key), text.alias("__text"), _without_marks(text).alias("__bare"))
+    out = out.withColumn("__template", F.regexp_replace(F.when(F.col("__text").rlike("[0-9]"), _without_marks(_numbered(F.col("__text")))).otherwise(F.col("__bare")), NAMES, NAME))
+    changed = F.col("__bare") != F.col("__template")
+    return out.select(key, F.when(changed, words_of(F.lower("__bare"))).alias("own"), words_of(F.lower("__template")).alias("words"))
 
 
-def _window_hashes(own: Column, words: Column, at: Column, size: int, slots: bool) -> Column:
-    """Hashes of a window: that of its own words, and with slots, if it has one and is not mostly placeholders, which begin with 0, its template's.
+def _window_hashes(own: Column, words: Column, at: Column, size: int, rule: bool) -> Column:
+    """Hashes of a window: that of its own words, and that of its template's.
 
+    With rule, the template's is left out if the window has no placeholder or is mostly placeholders, which begin with 0.
+    It is enough that the items keep the rule: a text's window that equals an item's by template is as literal.
     Places count from 0. Elements are taken one by one: slice() would copy the whole array for each window.
     """
-    verbatim = F.xxhash64(*[F.get(own, at + k) for k in range(size)])
-    if not slots:
-        return F.array(verbatim)
     part = [F.get(words, at + k) for k in range(size)]
+    verbatim, typed = F.xxhash64(*[F.get(own, at + k) for k in range(size)]), F.xxhash64(*part)
+    if not rule:
+        return F.array(verbatim, typed)
     literal = sum((F.when(w.startswith("0"), 0).otherwise(1) for w in part), F.lit(0))
-    return F.when((literal >= LITERALS) & (literal < size), F.array(verbatim, F.xxhash64(*part))).otherwise(F.array(verbatim))
+    return F.when((literal >= LITERALS) & (literal < size), F.array(verbatim, typed)).otherwise(F.array(verbatim))
 
 
 #: Items with fewer words than this are too short to be told from chance and never match.
 SHORTEST = 5
 
 
-def _windows(df: DataFrame, key: str, strides: dict[int, int], at: str) -> DataFrame:
-    """key, at and hash of windows of the given sizes, each at every stride-th place."""
+def _windows(df: DataFrame, key: str, strides: dict[int, int], at: str, rule: bool = False) -> DataFrame:
+    """key, at and hash of windows of the given sizes, each at every stride-th place; rule: see _window_hashes."""
 
     def of(size: int, stride: int) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(stride))
-        own = F.coalesce("own", "words")
-        hashed = lambda slots: F.flatten(F.transform(places, lambda i: F.transform(_window_hashes(own, F.col("words"), i, size, slots), lambda h: F.struct(i.alias(at), h.alias("hash")))))
+        both = F.flatten(F.transform(places, lambda i: F.transform(_window_hashes(F.col("own"), F.col("words"), i, size, rule), lambda h: F.struct(i.alias(at), h.alias("hash")))))
+        # Without placeholders there is one kind of words.
+        one = F.transform(places, lambda i: F.struct(i.alias(at), F.xxhash64(*[F.get("words", i + k) for k in range(size)]).alias("hash")))
         none = F.array().cast(f"array<struct<{at}:int,hash:bigint>>")
-        return F.when(F.size("words") < size, none).when(F.col("slots") > 0, hashed(True)).otherwise(hashed(False))
+        return F.when(F.size("words") < size, none).when(F.col("own").isNotNull(), both).otherwise(one)
 
     return reduce(DataFrame.unionByName, [df.select(key, F.inline(of(size, stride))) for size, stride in strides.items()])
 
@@ -113,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     strides = {r["size"]: r["stride"] for r in items.groupBy("size").agg(F.min("enough").alias("stride")).orderBy("size").collect()}
     if not strides:
         return docs.select("doc_id").limit(0).crossJoin(names.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_item_windows"), F.lit(False).alias("changed"))
-    wanted = reduce(DataFrame.unionByName, [_windows(items.where(F.col("size") == s), "__item", {s: 1}, "item_at") for s in strides])
+    wanted = reduce(DataFrame.unionByName, [_windows(items.where(F.col("size") == s), "__item", {s: 1}, "item_at", True) for s in strides])
     wanted = bounded(wanted, BROADCAST_WINDOWS)
 
     # A passage is a run of windows, each the next of the one before, in text and item. A run of

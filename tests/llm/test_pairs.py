@@ -116,8 +116,8 @@ def brute_leaks(docs, items):
     marks = regex.compile(t.MARKS)
 
     def words(text):
-        tmpl = regex.sub(t.NAMES, t.NAME, regex.sub(t.AFTER_NUMBER, rf"{t.NUMBER}\g<1>{t.UNIT}", regex.sub(t.NUMBERS, t.NUMBER, text)))
-        return [regex.findall(r"[^\x20\x09-\x0D]+", marks.sub("", x).lower()) for x in (text, tmpl)]
+        numbered = regex.sub(t.AFTER_NUMBER, rf"{t.NUMBER}\g<1>{t.UNIT}", regex.sub(t.NUMBERS, t.NUMBER, text))
+        return [regex.findall(r"[^\x20\x09-\x0D]+", x.lower()) for x in (marks.sub("", text), regex.sub(t.NAMES, t.NAME, marks.sub("", numbered)))]
 
     def windows(own, tmpl, size):
         out = []
