@@ -110,29 +110,47 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.route_checks(results).select("doc_id", "route_match", "source_overlap")
 
 
-def contexts_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def contexts_of(spark: SparkSession, sf_dir: str, bare: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each item is a question whose reference is its text; what was retrieved are all documents, and for two of three items their own text, changed a little.
 
-    Texts are whole, but for characters beyond ASCII, so that characters and bytes are the same for every engine.
+    Texts are whole; bare ones lack characters beyond ASCII, so that characters and bytes are the same for every engine.
     """
-    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), bare(F.col("text")).alias("reference"))
+    whole = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "") if bare else F.coalesce(c, F.lit(""))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), whole(F.col("text")).alias("reference"))
     n = items.count()
-    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("question_id"), F.floor(F.col("doc_id") / n).alias("rank"), bare(F.col("text")).alias("retrieved"))
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("question_id"), F.floor(F.col("doc_id") / n).alias("rank"), whole(F.col("text")).alias("retrieved"))
     own = items.where("question_id % 3 <> 0").select("question_id", F.lit(-1).cast("long").alias("rank"), F.concat(F.lit("seen: "), F.col("reference")).alias("retrieved"))
     return items.select("question_id"), items.select("question_id", F.lit(0).alias("ref_no"), "reference"), texts.unionByName(own)
 
 
-def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, refs, got = contexts_of(spark, sf_dir)
+def _recall(contexts: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    questions, refs, got = contexts
     return evaluate.context_recall(evaluate.context_pairs(got, refs), questions, refs).select("question_id", r6(F.col("recall")).alias("recall"))
 
 
-def context_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, refs, got = contexts_of(spark, sf_dir)
+def _precision(contexts: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    questions, refs, got = contexts
     return evaluate.context_precision(evaluate.context_pairs(got, refs), questions).select("question_id", r6(F.col("precision")).alias("precision"))
 
 
+def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recall(contexts_of(spark, sf_dir, bare=True))
+
+
+def context_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _precision(contexts_of(spark, sf_dir, bare=True))
+
+
+def context_recall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All characters count; engines that count bytes can't say this in SQL."""
+    return _recall(contexts_of(spark, sf_dir, bare=False))
+
+
+def context_precision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As context_recall_whole."""
+    return _precision(contexts_of(spark, sf_dir, bare=False))
+
+
 def metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of numbers some of which aren't: NaN is skipped."""
     rows = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, F.lit(float("nan"))).otherwise(F.col("quality").cast("double")).alias("quality"), F.col("toxic").cast("double").alias("toxic"))
@@ -148,7 +166,7 @@ def question_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("conv_id", F.posexplode(F.slice("t", 1, 3)).alias("line_no", "t")).select("conv_id", "line_no", "t.turn", F.sha2("t.text", 256).alias("question_hash"))
 
 
-QUERIES = {f.__name__: f for f in (visit_sequence, latency_by_stage, total_latency, formatted_latency, visits_by_node, stage_status, stream_frames, task_state, registry_evict, upload_status, cache_lookup, rate_windows, route_match, context_recall, context_precision, metric_means, question_limit)}
+QUERIES = {f.__name__: f for f in (visit_sequence, latency_by_stage, total_latency, formatted_latency, visits_by_node, stage_status, stream_frames, task_state, registry_evict, upload_status, cache_lookup, rate_windows, route_match, context_recall, context_precision, context_recall_whole, context_precision_whole, metric_means, question_limit)}
 
 _VISITS = f"WITH {_NODES_SQL}, v AS (SELECT user_id AS run_id, ts, event_id, node, value AS latency_ms, event_id % 2 = 0 AS loading, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events JOIN n USING (event_type))"
 _STATE = """WITH l AS (SELECT user_id AS task_id, event_id AS seq, epoch_us(ts) / 1000000 AS ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'indexed' END AS stage, CASE WHEN event_type <> 'error' THEN 'message ' || event_id END AS message, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error, CASE WHEN event_type = 'purchase' THEN event_id % 100 END AS indexed_chunks FROM events),
