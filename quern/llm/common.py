@@ -58,8 +58,9 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Batches sent to Python hold no more than this, whatever a session allows: two tasks of an executor hold some each.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+#: Batches sent to Python hold no more than this, whatever a session allows: two tasks of an executor hold some each,
+#: outside the JVM's heap, where a vector takes three times its size while it grows and pools keep what they once had.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def lean_batches(spark: SparkSession) -> None:
