@@ -260,9 +260,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = written(prefixes(sets, frequency_levels(sets)), "op5-prefixes")
     known = written(cut.drop("prefix", "hot"), "op5-known")
     nodes = written(known.groupBy("n", "set_a", "set_b", "group").agg(F.min("doc_id").alias("node")), "op5-nodes", known.count())
-    # One listing per group, whatever the number of its members, under the smallest member's id.
-    groups = cut.groupBy("n", "group").agg(F.min("doc_id").alias("leader"), F.first(F.struct("prefix", "hot")).alias("listed"))
-    listed = lambda part: groups.select("n", "group", "leader", F.explode(f"listed.{part}").alias("shingle"))
+    # One listing per group, whatever the number of its members.
+    groups = cut.groupBy("n", "group").agg(F.first(F.struct("prefix", "hot")).alias("listed"))
+    listed = lambda part: groups.select("n", "group", F.explode(f"listed.{part}").alias("shingle"))
     # A shingle that one group alone lists makes no pair; its row goes as soon as its neighbours are seen.
     ordered = listed("prefix").repartition("shingle").sortWithinPartitions("shingle")
     lists = written(_shared(ordered).unionByName(listed("hot")), "op5-lists")
