@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.common import r6, table
+from quern.common import fits, r6, table
 from quern.functions import text as tx
 from quern.operators import decisions, dense, fusion, lexical, report
 from quern.plans import research
 from quern.queries.indexing import TOKENS, chunks_of, pages_of
+from quern.settings import DEFAULTS
 from quern.sources import web
 
 
@@ -61,7 +62,9 @@ def web_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lists per benchmark item: by vector, by words, and from the pages."""
     texts = chunks_of(spark, sf_dir).select(F.col("chunk_ord").alias("doc_id"), "content", "source")
-    listed = lambda found, path: found.join(texts, "doc_id").select(F.col("query_id").alias("question_id"), F.lit(path).alias("path"), F.lit(fusion.PATHS[path]).alias("path_ord"), F.lit(0).alias("sub_query_ord"), "rank", "content", F.col("source").alias("source_id"))
+    # Every query finds top_k at most; what is found goes to the texts, which aren't shuffled.
+    sent = F.broadcast if fits(asked_of(spark, sf_dir), DEFAULTS.broadcast_rows // DEFAULTS.top_k) else lambda df: df
+    listed = lambda found, path: sent(found).join(texts, "doc_id").select(F.col("query_id").alias("question_id"), F.lit(path).alias("path"), F.lit(fusion.PATHS[path]).alias("path_ord"), F.lit(0).alias("sub_query_ord"), "rank", "content", F.col("source").alias("source_id"))
     found = web.searched_pages(asked_of(spark, sf_dir), table(spark, sf_dir, "pages"))
     pages = found.select(F.col("query_id").alias("question_id"), F.lit("web").alias("path"), F.lit(fusion.PATHS["web"]).alias("path_ord"), F.lit(0).alias("sub_query_ord"), "rank", "content", F.col("url").alias("source_id"))
     return fusion.all_hits(listed(hash_vector_topk(spark, sf_dir), "vector"), listed(bm25_topk(spark, sf_dir), "bm25"), pages)
@@ -80,12 +83,14 @@ def rrf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrective_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion without the web, and again with the web's hits where the word and vector lists share nothing."""
-    hits = hit_lists(spark, sf_dir)
-    local = hits.where("path <> 'web'")
-    alone = fusion.fused(local).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
-    needed = alone.where("n >= 8").select("question_id")
-    return _shown(fusion.fused(local.unionByName(hits.where("path = 'web'").join(needed, "question_id", "left_semi"))))
+    """Fusion without the web, and again with the web's hits where the word and vector lists share nothing.
+
+    The fused documents are a question's different contents, which are counted as the hits pass by: they are found once.
+    """
+    web_hit, content = F.col("path") == "web", F.coalesce(tx.content_hash(F.col("content")), F.lit(""))
+    local = F.size(F.collect_set(F.when(~web_hit, content)).over(Window.partitionBy("question_id")))
+    counted = hit_lists(spark, sf_dir).withColumn("__local", local)
+    return _shown(fusion.fused(counted.where(~web_hit | ((F.col("__local") >= 8) & F.col("question_id").isNotNull())).drop("__local")))
 
 
 def grades_of(spark: SparkSession, sf_dir: str) -> DataFrame:

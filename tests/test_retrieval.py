@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import decisions, dense, evaluate, fusion, lexical, report
+from quern.queries import retrieval
 
 HIT = "question_id long, path string, path_ord int, sub_query_ord int, sub_query string, rank int, content string, source_id string"
 
@@ -162,3 +163,27 @@ def test_search_with_vectors_of_mixed_length(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [0.0, 3.0, 0.0]), ("d", [1.0, 1.0, 1.0])], "id string, embedding array<double>")
     found = dense.search(queries, vectors, 2).collect()
     assert {(r.query_id, r["rank"]): (r.id, round(r.distance, 6)) for r in found} == {(1, 1): ("a", 0.0), (1, 2): ("b", 1.0), (2, 1): ("c", 0.0), (2, 2): ("d", round(1 - 3**-0.5, 6))}
+
+
+def test_bm25_shuffles_no_pairs(spark, monkeypatch):
+    """What a search shuffles is k rows per query and batch, whatever the number of chunks; it finds what the index finds."""
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 3)
+    rows = [(f"{i}", i, "s", f"a the word{i % 7} word{i % 3}" + " the" * (i % 5)) for i in range(5, 400)] + [(f"n{i}", i, "s", t) for i, t in enumerate(("", None, "word1 word1", "word1 word1", "Å word6"))]
+    chunks = spark.createDataFrame(rows, CHUNK).repartition(3)
+    queries = spark.createDataFrame([(i * 10, f"word{i} a WORD5 word5 none{i}") for i in range(8)] + [(None, "word2"), (7, "")], "query_id long, query string")
+    plain = lambda df: sorted((r.query_id or -1, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert plain(lexical.search(queries, chunks)) == plain(lexical.search_index(queries, lexical.index(chunks)))
+    terms = lexical.term_stats(chunks).join(lexical._asked(queries), "term").selectExpr("query_id", "term", "qtf * idf AS weight")
+    listed = chunks.selectExpr("chunk_id", "chunk_ord", "regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+', 0) AS __t")
+    scored = lexical._scored(listed, terms, 4.0, "bigint", 2, lexical.DEFAULTS)
+    assert 0 < scored.count() <= 2 * 9 * 3
+    # Chunks that share an id count together, as in the index.
+    twice = chunks.unionByName(chunks.where("chunk_ord < 50"))
+    assert plain(lexical.search(queries, twice)) == plain(lexical.search_index(queries, lexical.index(twice)))
+
+
+def test_hits_are_found_once_and_no_text_is_shuffled(spark, data):
+    """corrective_union reads the texts of its hits by two scans, and no scan of texts is dealt out."""
+    plan = retrieval.corrective_union(spark, data)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert "SortMergeJoin" not in initial and initial.count("/documents.parquet") <= 4, initial
