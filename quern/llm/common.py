@@ -42,10 +42,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 ROWS_PER_TASK = 20_000
 
 
+#: Whether Spark deletes the shuffles of a query when the query ends; else they stay until the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """df as a table in the shared folder: the lineage is cut, and a lost executor costs nothing. rows: a bound, if one is known."""
+    """df as a table in the shared folder: the lineage is cut, and a lost executor costs nothing. rows: a bound, if one is known.
+
+    The shuffles behind the table are deleted when it is written, as nothing reads them again.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))).write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))).write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -182,7 +182,7 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, set_a, set_b, group (the prefix's hash), prefix, and hot (the part of it in hot buckets) of every set."""
+    """doc_id, n, set_a, set_b, group (a hash of the prefix and n), prefix, and hot (the part of it in hot buckets) of every set."""
     sent = sets.sparkSession.sparkContext.broadcast(levels)
     hot_from = max(HOT_LEVEL, float(levels.mean()) + HOT_ABOVE)
 
@@ -194,7 +194,7 @@ def prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
             is_hot = of_each[taken] >= hot_from
             first.append(s[taken[~is_hot]])
             hot.append(s[taken[is_hot]])
-            groups.append(int(np.sort(_mixed(s[taken] ^ np.uint64(0xA5A5A5A5))).sum(dtype=np.uint64)))
+            groups.append(int(_mixed(np.append(s[taken] ^ np.uint64(0xA5A5A5A5), np.uint64(len(s)))).sum(dtype=np.uint64)))
         return [_signed(groups), _lists(first), _lists(hot)]
 
     return _batches(sets.select("doc_id", "n", "set_a", "set_b", "shingles"), of, ["doc_id", "n", "set_a", "set_b"], ["group", "prefix", "hot"], "group long, prefix array<long>, hot array<long>")
@@ -260,22 +260,24 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = written(prefixes(sets, frequency_levels(sets)), "op5-prefixes")
     known = written(cut.drop("prefix", "hot"), "op5-known")
     nodes = written(known.groupBy("n", "set_a", "set_b", "group").agg(F.min("doc_id").alias("node")), "op5-nodes", known.count())
-    # One listing per group, whatever the number of its members.
-    groups = cut.groupBy("n", "group").agg(F.first(F.struct("prefix", "hot")).alias("listed"))
-    listed = lambda part: groups.select("n", "group", F.explode(f"listed.{part}").alias("shingle"))
+    # One listing per group, whatever the number of its members. The prefixes go before the listings are dealt out.
+    groups = written(cut.groupBy("group").agg(F.first(F.struct("prefix", "hot")).alias("listed")).select("group", "listed.prefix", "listed.hot"), "op5-groups")
+    forget(cut)
+    listed = lambda part: groups.select("group", F.explode(part).alias("shingle"))
     # A shingle that one group alone lists makes no pair; its row goes as soon as its neighbours are seen.
     ordered = listed("prefix").repartition("shingle").sortWithinPartitions("shingle")
     lists = written(_shared(ordered).unionByName(listed("hot")), "op5-lists")
+    forget(groups)
     members = nodes.join(nodes.groupBy("n", "group").agg(F.min("node").alias("leader")), ["n", "group"])
     inner = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
     # At the level of nodes: lists of prefixes, and a list for each group of more than one.
-    entries = lists.join(members.select("n", "group", "node"), ["n", "group"]).select("shingle", "node", "n", F.lit(False).alias("own"))
+    entries = lists.join(members.select("n", "group", "node"), "group").select("shingle", "node", "n", F.lit(False).alias("own"))
     crowded = members.where("node != leader").where(F.col("n") >= LEAST_UNEQUAL).select("n", "group").distinct()
     own = members.join(crowded, ["n", "group"], "left_semi").select(F.xxhash64("n", "group", F.lit("group")).alias("shingle"), "node", "n", F.lit(True).alias("own"))
     entries = written(entries.unionByName(own), "op5-entries")
 
-    forget(cut, lists)
+    forget(lists)
     most, n_links = entries.count(), 0
     links = inner.limit(0)
     labels: DataFrame | None = None

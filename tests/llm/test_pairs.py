@@ -3,12 +3,14 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import regex
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard_groups, template_leaks, warc_revisits
+from quern.llm.common import CLEANUP, written
 
 
 def brute_components(rows):
@@ -236,3 +238,30 @@ def test_revisits(spark):
     assert warc_revisits.resolved(empty).count() == 0
     pages = spark.createDataFrame([(1, None, None, 5), (2, "http://a.com", "x", 5), (2, "http://a.com", "x", 5)], "page_id long, url string, html string, status int")
     assert warc_revisits.digest(pages).count() == 3 and warc_revisits.digest(pages.limit(0)).count() == 0
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        found.add(files.next().getName())
+    return {f for f in found if f.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    """A shuffle goes with the query that wrote a table, so that a job's shuffles don't add up on disk; the session's setting stays."""
+    before = shuffle_files(spark)
+    counts = written(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    deadline = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and spark.conf.get(CLEANUP) == "false" and counts.count() == 7
+
+
+def test_a_group_is_told_by_its_number(spark):
+    """Listings carry a group's number alone: sets of n and n + 1 with one prefix are two groups."""
+    one = np.arange(1, 21, dtype=np.uint64)
+    rows = [(1, 20, 0, 0, bytearray(one.tobytes())), (2, 21, 0, 0, bytearray(np.append(one, np.uint64(99)).tobytes())), (3, 20, 0, 0, bytearray(one.tobytes()))]
+    sets = spark.createDataFrame(rows, "doc_id long, n long, set_a long, set_b long, shingles binary")
+    cut = {r.doc_id: r for r in jaccard_groups.prefixes(sets, np.zeros(1 << jaccard_groups.SKETCH_BITS, np.uint8)).collect()}
+    assert cut[1].prefix == cut[2].prefix and cut[1].group != cut[2].group and cut[1].group == cut[3].group
