@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import lean_batches, table
+from quern.llm.common import lean_batches, returning, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -65,12 +65,11 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = np.array([[self.ids[a], self.ids[b], self.ids[a + b]] for a, b in merges], np.int64)
+        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.merges = np.fromiter((i for a, b in merges for i in (self.ids[a], self.ids[b], self.ids[a + b])), np.int64).reshape(-1, 3)
         letters = byte_letters()
         self.byte_ids = np.array([self.ids.get(c, -1) for c in letters], np.int64)
         self.last_ids = np.array([self.ids.get(c + self.suffix, -1) for c in letters], np.int64)
-        self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -199,7 +198,7 @@ class RoundEncoder:
         self.vocabulary = Vocabulary(text)
         self.pairs = PairTable(self.vocabulary)
         self.known: dict[str, str] = {}
-        self.names: dict[str, str] = {str(i): s for i, s in self.vocabulary.names.items()}
+        self.names: dict[str, str] = {str(i): s for said in (self.vocabulary.ids, self.vocabulary.special) for s, i in said.items()}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens, special strings among them as they are (marked by a leading NUL)."""
@@ -344,7 +343,7 @@ def _mapped(docs: DataFrame, columns: dict[str, pa.DataType], make: Callable[[],
     lean_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return kept.mapInArrow(run, f"{fields}, {more}")
+    return kept.mapInArrow(returning(run), f"{fields}, {more}")
 
 
 def file_text(path: str) -> str:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +76,7 @@ def forget(*tables: DataFrame) -> None:
 
 #: Batches sent to Python hold no more than this, whatever a session allows: two tasks of an executor hold some each,
 #: outside the JVM's heap, where a vector takes three times its size while it grows and pools keep what they once had.
-BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 1 << 20
 
 
 def lean_batches(spark: SparkSession) -> None:
@@ -83,6 +87,24 @@ def lean_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, after which a worker gives memory that it no longer uses back to the system.
+
+    Spark keeps workers for later tasks, whatever those do, and what their allocators hold by then is missing to the JVM beside them.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))

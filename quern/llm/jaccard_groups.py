@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, forget, lean_batches, table, written
+from quern.llm.common import bounded, forget, lean_batches, returning, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -117,7 +117,7 @@ def _batches(df: DataFrame, of: Callable[[list], list[pa.Array]], keep: list[str
 
     lean_batches(df.sparkSession)
     own = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema.fields[:-1])
-    return df.mapInArrow(run, own + fields)
+    return df.mapInArrow(returning(run), own + fields)
 
 
 def _signed(xs: list[int]) -> pa.Array:
@@ -173,8 +173,8 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "counts"])
 
     lean_batches(sets.sparkSession)
-    counts = sets.select("shingles").mapInArrow(count, "block int, counts binary")
-    summed = counts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()
+    counts = sets.select("shingles").mapInArrow(returning(count), "block int, counts binary")
+    summed = counts.repartition(SKETCH_BLOCKS, "block").mapInArrow(returning(add), "block int, counts binary").collect()
     total = np.zeros(buckets, np.int64)
     for row in summed:
         total[row["block"] * block : (row["block"] + 1) * block] += np.frombuffer(row["counts"], np.int64)
@@ -243,7 +243,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "__x", "__y")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(similar, f"a {kind}, b {kind}")
+    return both.mapInArrow(returning(similar), f"a {kind}, b {kind}")
 
 
 def _alike_in_size(n: str, m: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import lean_batches, table, written
+from quern.llm.common import lean_batches, returning, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -263,7 +263,7 @@ def _text_rows(docs: DataFrame, make: Callable[[list[str]], list[pa.Array]], kep
 
     lean_batches(docs.sparkSession)
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
-    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(run, own + fields)
+    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(returning(run), own + fields)
 
 
 def fit(docs: DataFrame) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import lean_batches, table
+from quern.llm.common import lean_batches, returning, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -197,7 +197,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+    return docs.mapInArrow(returning(run), f"{fields}, `{column}` double")
 
 
 def digest(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:

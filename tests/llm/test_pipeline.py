@@ -1,10 +1,14 @@
 """The pipeline's stages: what they keep, and that they stand awkward tables."""
 
+import re
+from pathlib import Path
+
 import pytest
 from compare import connection, same
 
 import corpus_pipeline
 from quern.llm import jaccard_groups, registry, subword_classifier, template_leaks
+from quern.llm.common import returning
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -51,6 +55,32 @@ def test_run(spark, data):
     assert 0 < out.count() < spark.read.parquet(f"{data}/documents.parquet").count()
 
 
+def test_stages_give_workers_memory_back(spark, awkward, folder, monkeypatch):
+    kind, given = type(awkward), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *more: given.append(run.__qualname__) or plain(self, run, *more))
+    for name in ("quality", "near_duplicates", "personal_data", "encoding"):
+        before = len(given)
+        STAGES[name](spark, awkward, folder)
+        assert len(given) > before and all(x.startswith("returning.") for x in given), name
+
+
+def test_memory_goes_back():
+    held_mb = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    above = []
+
+    def run(batches):
+        for batch in batches:
+            used = [bytearray(60_000) for _ in range(3_000)]
+            # What stays above them keeps the allocator from giving them back by itself.
+            above.append([bytearray(60_000) for _ in range(20)])
+            yield batch
+            del used
+
+    before = held_mb()
+    assert [*returning(run)(iter([1]))] == [1] and held_mb() < before + 60
+
+
 SQL = registry.oracle_sql()
 
 
